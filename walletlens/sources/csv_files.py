@@ -9,8 +9,14 @@ from walletlens.functions.text import null_if_token
 from walletlens.operators.cleaning import rename_positional
 from walletlens.schema import PROCESSED_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
 
-# Quotes inside a field are doubled, as spreadsheet and data-frame writers do.
-_DIALECT = {"header": "true", "quote": '"', "escape": '"'}
+# Quotes inside a field are doubled, as spreadsheet and data-frame writers do; blanks are data.
+_DIALECT = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def _null_tokens(df: DataFrame) -> DataFrame:
