@@ -51,4 +51,4 @@ def iso_text(timestamp: Column) -> Column:
     """ISO text; a fraction of a second is shown only where there is one."""
     seconds = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(timestamp, "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat_ws(".", seconds, micros))
+    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))

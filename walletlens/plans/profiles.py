@@ -207,10 +207,10 @@ QUERIES = {
         f"""WITH {_E}, placed AS (
           SELECT {_KEYS}, transaction_type, timestamp, coalesce(amount, 0.0) AS amount,
             row_number() OVER (PARTITION BY {_KEYS}, transaction_type
-              ORDER BY timestamp, coalesce(amount, 0.0)) - 1 AS at
+              ORDER BY timestamp, coalesce(amount, 0.0)) - 1 AS place
           FROM t WHERE {_BOTH})
-        SELECT {_KEYS}, transaction_type, at // {_LIST_CHUNK} AS chunk, count(*) AS n_amounts,
-          string_agg(printf('%.2f', amount), ', ' ORDER BY at) AS amounts
-        FROM placed GROUP BY {_KEYS}, transaction_type, at // {_LIST_CHUNK}""",
+        SELECT {_KEYS}, transaction_type, place // {_LIST_CHUNK} AS chunk, count(*) AS n_amounts,
+          string_agg(printf('%.2f', amount), ', ' ORDER BY place) AS amounts
+        FROM placed GROUP BY {_KEYS}, transaction_type, place // {_LIST_CHUNK}""",
     ),
 }

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from walletlens.functions.text import PLACEHOLDER
 from walletlens.functions.vectors import dot
 from walletlens.operators import reports, scoring
 from walletlens.operators.generation import generate, summary_writer
@@ -136,15 +137,15 @@ def winner_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CATALOGUE = "component, component_rank, approach, approach_rank, template"
 _RENDERED = f"""SELECT user_id, year, month, component, component_rank, approach, approach_rank,
-  replace(template, '{{transaction_summary}}', profile_text) AS prompt
-FROM profiles, (VALUES {{rows}}) AS c({_CATALOGUE}) WHERE has_data"""
+  replace(template, '{PLACEHOLDER}', profile_text) AS prompt
+FROM profiles, (VALUES {oracle.values(catalogue_rows(COMPONENTS))}) AS c({_CATALOGUE})
+WHERE has_data"""
 _TITLES = "CASE component WHEN 'executive_summary' THEN 'Executive Summary' ELSE 'Recommendations' END"
 
 QUERIES = {
     "prompt_render": (
         prompt_render,
-        f"WITH {oracle.EVENTS}, {oracle.PROFILE} "
-        + _RENDERED.format(rows=oracle.values(catalogue_rows(COMPONENTS))),
+        f"WITH {oracle.EVENTS}, {oracle.PROFILE} {_RENDERED}",
     ),
     "generated_text": (
         generated_text,
