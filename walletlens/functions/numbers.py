@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,14 +11,34 @@ from walletlens.schema import MONEY
 
 _NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
 
-# From here on doubles are whole numbers, so nothing is left to round.
-_WHOLE_FROM = 9.0e15
-_LOW_30_BITS = (1 << 30) - 1
+# Up to here a double holds every whole number of cents.
+_CENTS_EXACT_BELOW = 9.0e13
+_SPLITTER = float((1 << 27) + 1)
+
+
+# Sums of smaller amounts are exact; nothing a wallet holds comes near.
+MAX_AMOUNT = 9.0e14
+
+
+def exact_sum(amount: Column) -> Column:
+    """Exact decimal sum of an amount column; sums of doubles would depend on the row order.
+
+    An amount is a whole number of ten-thousandths plus what is left of it beyond four
+    decimals (nothing, for money). Both are summed as whole numbers, the first in two parts
+    so that no count of rows overflows; that costs about a seventh of summing decimals.
+    Amounts of 9e14 and more raise in ANSI mode; the loader keeps them out.
+    """
+    units = F.rint(amount * 10000.0)
+    rest = F.rint((amount - units / 10000.0) * 1e12).cast("bigint")
+    units = units.cast("bigint")
+    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)") * (1 << 20)
+    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))
+    total = (high + low) * F.lit(Decimal("0.0001"))
+    return (total + F.sum(rest) * F.lit(Decimal("1E-12"))).cast(MONEY)
 
 
-def money(amount: Column) -> Column:
-    """Exact decimal for summing; sums of doubles would depend on the row order."""
-    return amount.cast(MONEY)
+def no_money() -> Column:
+    return F.lit(0).cast(MONEY)
 
 
 def parse_amount(text: Column) -> Column:
@@ -25,43 +47,34 @@ def parse_amount(text: Column) -> Column:
 
 
 def _cents(x: Column) -> Column:
-    """Cents of abs(x), rounded on the exact binary value with ties to the even cent.
+    """The number of cents in x, rounded on its exact binary value, ties to the even cent.
 
-    Spark's own formatting rounds the shortest decimal text half up, which differs for values
-    such as 0.125 or 2.675. Here the fraction is scaled by 2**60, which is exact wherever it
-    can reach half a cent, and rounded in two 30-bit halves of 64-bit integer arithmetic.
+    Spark's ``round`` and ``format_string`` round the shortest decimal text half up, which
+    differs for values such as 0.125 or 2.675. Here the nearest whole number of cents is
+    corrected by the exact product: x is split into two halves of 26 bits, whose multiples
+    of 100 are exact, so the sign of what lies beyond half a cent is exact as well.
     """
-    size = F.abs(x)
-    whole = F.floor(size)
-    scaled = ((size - whole) * F.lit(float(1 << 60))).cast("bigint")
-    low = scaled.bitwiseAND(F.lit(_LOW_30_BITS)) * 100
-    high = F.shiftright(scaled, 30) * 100 + F.shiftright(low, 30)
-    cents = F.shiftright(high, 30)
-    rest = F.shiftleft(high.bitwiseAND(F.lit(_LOW_30_BITS)), 30) + low.bitwiseAND(
-        F.lit(_LOW_30_BITS)
+    cents = F.rint(x * 100.0)
+    high = x * _SPLITTER - (x * _SPLITTER - x)
+    low = (x - high) * 100.0
+    beyond = high * 100.0 - cents
+    return (
+        F.when((beyond - 0.5) + low > 0, cents + 1)
+        .when((beyond + 0.5) + low < 0, cents - 1)
+        .otherwise(cents)
     )
-    half = F.lit(1 << 59)
-    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
-    return whole * 100 + cents + F.when(up, 1).otherwise(0)
 
 
-def two_decimals(x: Column) -> Column:
-    """the double as text with two decimals."""
-    digits = _cents(x).cast("string")
-    digits = F.lpad(digits, F.greatest(F.length(digits), F.lit(3)), "0")
-    text = F.concat(
-        F.when(x < 0, "-").otherwise(""),
-        F.substring(digits, F.lit(1), F.length(digits) - 2),
-        F.lit("."),
-        F.right(digits, F.lit(2)),
-    )
-    return F.when(F.abs(x) < _WHOLE_FROM, text).otherwise(F.format_string("%.2f", x))
+def round_cents(x: Column) -> Column:
+    """the double that ``two_decimals`` reads as."""
+    return F.when(F.abs(x) < _CENTS_EXACT_BELOW, _cents(x) / 100.0).otherwise(x)
 
 
-def round_cents(x: Column) -> Column:
-    """the double that two_decimals(x) reads as."""
-    rounded = _cents(x).cast("double") / 100.0
-    return F.when(F.abs(x) < _WHOLE_FROM, F.when(x < 0, -rounded).otherwise(rounded)).otherwise(x)
+def two_decimals(x: Column) -> Column:
+    """the double as text with two decimals, a sign also before a rounded -0.00."""
+    size = _cents(F.abs(x)).cast("bigint").cast("decimal(16,0)") * F.lit(Decimal("0.01"))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), size.cast("string"))
+    return F.when(F.abs(x) < _CENTS_EXACT_BELOW, text).otherwise(F.format_string("%.2f", x))
 
 
 def share_percent(part: Column, total: Column) -> Column:

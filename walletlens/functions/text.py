@@ -32,7 +32,7 @@ def component_title(component: Column) -> Column:
 
 def year_month_label(year: Column, month: Column) -> Column:
     """F6"""
-    return F.format_string("%d-%02d", year, month)
+    return F.concat(year.cast("string"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
 def render_prompt(template: Column, summary: Column) -> Column:

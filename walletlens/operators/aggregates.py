@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from walletlens.functions.dates import iso_text
-from walletlens.functions.numbers import money, share_percent
+from walletlens.functions.numbers import exact_sum, no_money, share_percent
 from walletlens.operators.cleaning import (
     has_segment,
     in_month,
@@ -26,7 +26,7 @@ def exact_stats(t: DataFrame) -> DataFrame:
     """A1 with exact decimal totals, for what subtracts them."""
 
     def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, money(F.col("amount")))), money(F.lit(0)))
+        return F.coalesce(exact_sum(F.when(condition, F.col("amount"))), no_money())
 
     return t.groupBy(*KEYS).agg(
         total(is_spend()).alias("total_spend"),
@@ -47,7 +47,7 @@ def exact_methods(t: DataFrame) -> DataFrame:
     """A2 with exact decimal totals."""
     return t.groupBy(*KEYS, "transaction_method", "transaction_type").agg(
         F.count("*").alias("count"),
-        F.coalesce(F.sum(money(F.col("amount"))), money(F.lit(0))).alias("total_amount"),
+        F.coalesce(exact_sum(F.col("amount")), no_money()).alias("total_amount"),
     )
 
 
@@ -80,8 +80,8 @@ def method_totals(t: DataFrame) -> DataFrame:
 
     summed = exact.select(
         "*",
-        total(SPEND, "total_amount", money(F.lit(0))).alias("spend"),
-        total(CASH_IN, "total_amount", money(F.lit(0))).alias("cash_in"),
+        total(SPEND, "total_amount", no_money()).alias("spend"),
+        total(CASH_IN, "total_amount", no_money()).alias("cash_in"),
         total(SPEND, "count", F.lit(0)).alias("spend_count"),
         total(CASH_IN, "count", F.lit(0)).alias("cash_in_count"),
     )
@@ -175,7 +175,7 @@ def active_user_stats(t: DataFrame, year: int, month: int, min_transactions: int
     """A4: users with enough rows of any type in the month."""
 
     def total(condition: Column) -> Column:
-        exact = F.sum(F.when(condition, money(F.col("amount"))))
+        exact = exact_sum(F.when(condition, F.col("amount")))
         return F.coalesce(exact.cast("double"), F.lit(0.0))
 
     return (

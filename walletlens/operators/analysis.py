@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walletlens.functions.dates import days_in_month
-from walletlens.functions.numbers import money, ratio, share_percent, two_decimals
+from walletlens.functions.numbers import no_money, ratio, share_percent, two_decimals
 from walletlens.operators.aggregates import exact_methods, exact_stats, method_totals, of_type
 from walletlens.operators.cleaning import is_cash_in, is_spend
 from walletlens.schema import CASH_IN, KEYS, SPEND
@@ -43,7 +43,7 @@ def transaction_behaviour(t: DataFrame, k: int = 3) -> DataFrame:
         exact_methods(both)
         .groupBy(*KEYS)
         .agg(
-            F.coalesce(F.sum(F.when(is_spend(), F.col("total_amount"))), money(F.lit(0)))
+            F.coalesce(F.sum(F.when(is_spend(), F.col("total_amount"))), no_money())
             .cast("double")
             .alias("total_spend"),
             F.coalesce(F.sum(F.when(is_spend(), F.col("count"))), F.lit(0)).alias("spend_count"),

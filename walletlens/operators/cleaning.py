@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from walletlens.functions.dates import month_limits, ntz
-from walletlens.functions.numbers import parse_amount
+from walletlens.functions.numbers import MAX_AMOUNT, parse_amount
 from walletlens.functions.text import combine_tags
 from walletlens.schema import CASH_IN, RAW_COLUMNS, SPEND, TRANSACTION_SCHEMA
 
@@ -51,7 +51,8 @@ def coerce_transactions(processed: DataFrame, timestamp_formats: tuple[str, ...]
     """Typed transaction columns plus ``reason``, null for a valid row.
 
     Missing text stays missing instead of turning into the word "nan" (V1); a missing tag is
-    the empty tag. Bad timestamps (V2) and infinite amounts (V8) get a reason.
+    the empty tag. Bad timestamps (V2) and amounts too large to sum, infinite ones first (V8),
+    get a reason.
     """
     kind = dict(processed.dtypes)
     timestamp = F.col("timestamp")
@@ -76,6 +77,7 @@ def coerce_transactions(processed: DataFrame, timestamp_formats: tuple[str, ...]
         .when(F.col("transaction_type").isNull(), "missing transaction_type")
         .when(F.col("transaction_method").isNull(), "missing transaction_method")
         .when(F.abs("amount") == float("inf"), "infinite amount")
+        .when(F.abs("amount") >= MAX_AMOUNT, "amount out of range")
     )
     return typed.select(
         "*",

@@ -15,7 +15,7 @@ from walletlens.operators.cleaning import (
     quarantined,
     valid_transactions,
 )
-from walletlens.functions.numbers import money
+from walletlens.functions.numbers import exact_sum
 from walletlens.plans import oracle
 from walletlens.schema import PROCESSED_COLUMNS
 from walletlens.session import scratch_path
@@ -92,7 +92,7 @@ def replay_safe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("batch_id", "user_id", "year", "month")
         .agg(
             F.count("*").alias("transaction_count"),
-            F.sum(money(F.col("amount"))).cast("double").alias("total_amount"),
+            exact_sum(F.col("amount")).cast("double").alias("total_amount"),
         )
     )
 
