@@ -16,7 +16,7 @@ _CENTS_EXACT_BELOW = 9.0e13
 _SPLITTER = float((1 << 27) + 1)
 
 
-# Sums of smaller amounts are exact; nothing a wallet holds comes near.
+# Larger amounts cannot be summed; nothing a wallet holds comes near.
 MAX_AMOUNT = 9.0e14
 
 
@@ -26,7 +26,8 @@ def exact_sum(amount: Column) -> Column:
     An amount is a whole number of ten-thousandths plus what is left of it beyond four
     decimals (nothing, for money). Both are summed as whole numbers, the first in two parts
     so that no count of rows overflows; that costs about a seventh of summing decimals.
-    Amounts of 9e14 and more raise in ANSI mode; the loader keeps them out.
+    From 9e11 on, where doubles are more than 0.0001 apart, an amount counts to within half
+    of that distance. Amounts of 9e14 and more raise in ANSI mode; the loader keeps them out.
     """
     units = F.rint(amount * 10000.0)
     rest = F.rint((amount - units / 10000.0) * 1e12).cast("bigint")

@@ -17,12 +17,7 @@ from walletlens.operators.prompts import COMPONENTS, catalogue_rows, fan_out
 from walletlens.plans import oracle
 from walletlens.session import scratch_path
 from walletlens.sources.report_files import read_reports, write_reports
-from walletlens.sources.tables import (
-    event_transactions,
-    given_candidates,
-    order_transactions,
-    table,
-)
+from walletlens.sources.tables import event_transactions, given_candidates, table
 
 
 def _prompts(spark: SparkSession, sf_dir: str, components: list[str] | None = None) -> DataFrame:
@@ -128,9 +123,9 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def winner_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole report job on order transactions: profiles to nested reports, shown flat."""
+    """The whole report job: profiles to nested reports, shown flat."""
     made = reports.generate_reports(
-        order_transactions(spark, sf_dir), summary_writer(), fitted_safety(spark, sf_dir)
+        event_transactions(spark, sf_dir), summary_writer(), fitted_safety(spark, sf_dir)
     )
     return reports.report_rows(made)
 
