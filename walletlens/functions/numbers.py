@@ -72,7 +72,7 @@ def round_cents(x: Column) -> Column:
 
 
 def two_decimals(x: Column) -> Column:
-    """the double as text with two decimals, a sign also before a rounded -0.00."""
+    """the double as text with two decimals; what rounds to zero keeps its sign."""
     size = _cents(F.abs(x)).cast("bigint").cast("decimal(16,0)") * F.lit(Decimal("0.01"))
     text = F.concat(F.when(x < 0, "-").otherwise(""), size.cast("string"))
     return F.when(F.abs(x) < _CENTS_EXACT_BELOW, text).otherwise(F.format_string("%.2f", x))
