@@ -46,6 +46,15 @@ def test_raw_file_of_another_width_is_an_error(spark, tmp_path):
         csv_files.read_raw_csv(spark, str(tmp_path / "raw.csv"))
 
 
+@pytest.mark.parametrize("line", ["u,SPEND,QR", "u,2025-04-01,SPEND,QR,1,000.00,A"])
+def test_line_of_another_width_is_an_error(spark, tmp_path, line):
+    header = "user_id,timestamp,transaction_type,transaction_method,amount,segment_tag"
+    (tmp_path / "p.csv").write_text(f"{header}\nu,2025-04-01,SPEND,QR,1,A\n{line}\n")
+    read = csv_files.read_processed_csv(spark, str(tmp_path / "p.csv"))
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read.select("user_id", "amount").collect()
+
+
 def test_missing_file_is_an_error(spark, tmp_path):
     with pytest.raises(AnalysisException):
         csv_files.read_processed_csv(spark, str(tmp_path / "nothing.csv"))

@@ -17,6 +17,9 @@ _DIALECT = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
+# A line with more or fewer fields than the file's columns is an error, not a row with shifted
+# or missing values; pruned columns would hide it.
+_STRICT = {**_DIALECT, "mode": "FAILFAST", "columnPruning": "false", "enforceSchema": "true"}
 
 
 def _null_tokens(df: DataFrame) -> DataFrame:
@@ -26,27 +29,18 @@ def _null_tokens(df: DataFrame) -> DataFrame:
 def read_raw_csv(spark: SparkSession, path: str | list[str], check_header: bool = True) -> DataFrame:
     """S1 + P1: ten text columns by position, whatever the header calls them.
 
-    With ``check_header`` the header lines are read for their number of columns only, because
-    a file of another width must be an error, not rows padded with nulls.
+    With ``check_header`` the header is read for its number of columns first, so that a file
+    of another width fails before any job runs.
     """
     if check_header:
         header = spark.read.options(**_DIALECT).csv(path)
         rename_positional(header, RAW_COLUMNS)
-    raw = (
-        spark.read.options(**_DIALECT)
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", "true")
-        .schema(RAW_SCHEMA)
-        .csv(path)
-    )
-    return _null_tokens(raw)
+    return _null_tokens(spark.read.options(**_STRICT).schema(RAW_SCHEMA).csv(path))
 
 
 def read_processed_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Six text columns; a missing path raises. Types are set by the cleaning operators."""
-    return _null_tokens(
-        spark.read.options(**_DIALECT).option("mode", "PERMISSIVE").schema(PROCESSED_SCHEMA).csv(path)
-    )
+    return _null_tokens(spark.read.options(**_STRICT).schema(PROCESSED_SCHEMA).csv(path))
 
 
 def write_processed_csv(processed: DataFrame, path: str) -> None:
