@@ -38,6 +38,14 @@ def test_profile_scans_once_and_shuffles_twice(spark, sf_dir):
     assert "props" not in plan
 
 
+def test_requests_are_answered_in_one_scan(spark, sf_dir):
+    asked = spark.createDataFrame([("7", 2024, 1)], "user_id string, year int, month int")
+    for operator in (profile.requested_status, profile.requested_profiles):
+        plan = physical(operator(event_transactions(spark, sf_dir), asked))
+        assert plan.count("FileScan") == 1
+        assert "BroadcastHashJoin" in plan.split("FileScan")[0].rsplit("HashAggregate", 1)[1]
+
+
 def test_time_range_reaches_the_scan(spark, sf_dir):
     plan = physical(aggregates.active_users(event_transactions(spark, sf_dir), 2024, 1))
     pushed = re.search(r"PushedFilters: \[(.*?)\]", plan).group(1)
