@@ -27,8 +27,12 @@ def exact_sum(amount: Column) -> Column:
     decimals (nothing, for money). Both are summed as whole numbers, the first in two parts
     so that no count of rows overflows; that costs about a seventh of summing decimals.
     From 9e11 on, where doubles are more than 0.0001 apart, an amount counts to within half
-    of that distance. Amounts of 9e14 and more raise in ANSI mode; the loader keeps them out.
+    of that distance. NaN and amounts of 9e14 and more raise; the loader keeps them out.
     """
+    summable = amount.isNull() | (F.abs(amount) < MAX_AMOUNT)
+    amount = F.when(summable, amount).otherwise(
+        F.raise_error(F.concat(F.lit("amount out of range: "), amount.cast("string"))).cast("double")
+    )
     units = F.rint(amount * 10000.0)
     rest = F.rint((amount - units / 10000.0) * 1e12).cast("bigint")
     units = units.cast("bigint")

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from walletlens.functions.dates import iso_text, month_end, month_name, month_start
-from walletlens.functions.text import year_month_label
+from walletlens.functions.numbers import exact_sum
+from walletlens.functions.text import combine_tags, year_month_label
 from walletlens.operators.aggregates import monthly_stats
 from walletlens.operators.cleaning import (
+    TAG_COLUMNS,
     coerce_transactions,
     is_spend,
     process_raw,
     quarantined,
     valid_transactions,
 )
-from walletlens.functions.numbers import exact_sum
 from walletlens.plans import oracle
 from walletlens.schema import PROCESSED_COLUMNS
 from walletlens.session import scratch_path
@@ -47,14 +48,9 @@ def processed_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = raw_events(spark, sf_dir)
-    tag = process_raw(raw).schema["segment_tag"].name
-    tagged = raw.withColumn(
-        tag,
-        F.concat_ws(
-            ", ", *[F.when(F.col(c) != "nan", F.col(c)) for c in raw.columns if c.startswith(tag)]
-        ),
-    )
+    """The raw rows with combined tags and their full times."""
+    tag = combine_tags(*[F.col(name) for name in TAG_COLUMNS])
+    tagged = raw_events(spark, sf_dir).withColumn("segment_tag", tag)
     return coerce_transactions(tagged.select(PROCESSED_COLUMNS))
 
 
