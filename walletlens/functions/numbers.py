@@ -25,7 +25,7 @@ def exact_sum(amount: Column) -> Column:
 
     An amount is a whole number of ten-thousandths plus what is left of it beyond four
     decimals (nothing, for money). Both are summed as whole numbers, the first in two parts
-    so that no count of rows overflows; that costs about a seventh of summing decimals.
+    so that no count of rows overflows; that costs a fraction of summing decimals.
     From 9e11 on, where doubles are more than 0.0001 apart, an amount counts to within half
     of that distance. NaN and amounts of 9e14 and more raise; the loader keeps them out.
     """
