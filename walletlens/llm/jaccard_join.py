@@ -36,10 +36,12 @@ COUNT_CELLS = 1 << 19
 RANGES = 16
 #: Prefix shingles per document whose pivot it is compared with before the pairwise join.
 PIVOTS = 3
+#: Most rows of at most 24 bytes that are broadcast in a join; more are shuffled.
+BROADCAST_ROWS = 500_000
 
 _PROFILE = "node_doc long, n long, digest binary, ranges array<int>, cell int, cell_docs long"
 _PREFIX = "shingle long, digest binary, n int, pos int"
-_SETS = "digest binary, members binary"
+_SETS = "node_doc long, digest binary, members binary"
 
 
 def _digest(members: np.ndarray) -> bytes:
@@ -140,11 +142,15 @@ def _member_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for _, texts in chunks(batch, 0):
+            for first, texts in chunks(batch, 1):
                 sets = [np.unique(x) for x in shingle_runs(hashes, texts, size)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(_digest, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                    ["digest", "members"],
+                    [
+                        batch.column(0).slice(first, len(texts)),
+                        pa.array(map(_digest, sets), pa.binary()),
+                        pa.array([x.tobytes() for x in sets], pa.binary()),
+                    ],
+                    ["node_doc", "digest", "members"],
                 )
 
     return run
@@ -178,16 +184,31 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataF
     return joined.selectExpr("least(x.digest, y.digest) AS a", "greatest(x.digest, y.digest) AS b").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that reach the threshold: suffix filter on counts, then the sets themselves, once per pair."""
+def _bounded(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose counts per hash range leave room for the overlap they need (suffix filter)."""
     x = sizes.selectExpr("digest AS a", "n AS n_a", "ranges AS r_a")
     y = sizes.selectExpr("digest AS b", "n AS n_b", "ranges AS r_b")
     most = "aggregate(zip_with(r_a, r_b, (k, l) -> least(k, l)), 0, (total, k) -> total + k)"
     counted = pairs.join(x, "a").join(y, "b")
-    bounded = counted.filter(f"{100 + percent} * {most} >= {percent} * (n_a + n_b)").select("a", "b")
-    left = sets.selectExpr("digest AS a", "members AS m_a")
-    right = sets.selectExpr("digest AS b", "members AS m_b")
-    return bounded.join(left, "a").join(right, "b").filter(_linked(percent)("m_a", "m_b")).select("a", "b")
+    return counted.filter(f"{100 + percent} * {most} >= {percent} * (n_a + n_b)").select("a", "b")
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """``rows`` (written, of few short columns) marked for broadcast if there are few enough; a shuffle join beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The written ``pairs`` that reach the threshold. Only their sets are made, and each pair is verified once."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    wanted = materialize(sizes.join(ends, "digest", "left_semi").select("node_doc", "digest"), "jaccard-wanted")
+    wanted = small(wanted)
+    texts = docs.join(wanted.select("node_doc"), "node_doc", "left_semi")
+    made = texts.mapInArrow(_member_sets(size), _SETS).join(wanted, ["node_doc", "digest"], "left_semi")
+    sets = materialize(made.select("digest", "members"), "jaccard-sets")
+    left = sets.select(F.col("digest").alias("a"), F.col("members").alias("m_a"))
+    right = sets.select(F.col("digest").alias("b"), F.col("members").alias("m_b"))
+    return pairs.join(left, "a").join(right, "b").filter(_linked(percent)("m_a", "m_b")).select("a", "b")
 
 
 def similar_documents(
@@ -227,18 +248,15 @@ def similar_documents(
     sizes = profiles.join(nodes, "digest", "left_semi").filter("node_doc IS NOT NULL")
     sizes = sizes.groupBy("digest").agg(F.min("node_doc").alias("node_doc"), F.min("n").alias("n"), F.min("ranges").alias("ranges"))
     sizes = materialize(sizes, "jaccard-sizes")
-    wanted = docs.join(sizes.select("node_doc"), "node_doc", "left_semi").select("node_text")
-    found = wanted.mapInArrow(_member_sets(size), _SETS).join(nodes, "digest", "left_semi")
-    sets = materialize(found.dropDuplicates(["digest"]), "jaccard-sets")
-
     few = Window.partitionBy("digest").orderBy(F.xxhash64("shingle"))
     tried = postings.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= PIVOTS).drop("rank")
     pivots = postings.groupBy("shingle").agg(
         F.min(F.struct(F.xxhash64("digest", "shingle"), "digest", "n", "pos")).alias("pivot")
     )
     pivots = pivots.select("shingle", "pivot.digest", "pivot.n", "pivot.pos")
-    stars = materialize(_pairs(tried, pivots, percent, "x.digest <> y.digest"), "jaccard-stars")
-    links = materialize(_verified(stars, sets, sizes, percent), "jaccard-links")
+    stars = _bounded(_pairs(tried, pivots, percent, "x.digest <> y.digest"), sizes, percent)
+    stars = materialize(stars, "jaccard-stars")
+    links = materialize(_verified(stars, docs, sizes, size, percent), "jaccard-links")
     labels = connected_components(links)
 
     def with_label(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -250,7 +268,8 @@ def similar_documents(
     across = across.filter("low <> high").select("shingle")
     open_postings = materialize(labelled.join(across, "shingle", "left_semi"), "jaccard-open")
     rest = _pairs(open_postings, open_postings, percent, "x.label < y.label").join(stars, ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, sizes, percent), "jaccard-links")
+    rest = materialize(_bounded(rest, sizes, percent), "jaccard-rest")
+    more = materialize(_verified(rest, docs, sizes, size, percent), "jaccard-links")
     labels = connected_components(links.union(more))
 
     named = with_label(profiles, labels).withColumn("label", F.when(F.col("n") > 0, F.col("label")))
@@ -277,5 +296,5 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80, id_colum
     """The documents without those that have a similar one with a smaller id; columns unchanged."""
     found = similar_documents(documents, id_column=id_column, size=size, percent=percent)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    gone = materialize(gone.distinct(), "jaccard-gone")
+    gone = small(materialize(gone.distinct(), "jaccard-gone"))
     return documents.join(gone, documents[id_column] == gone["__gone"], "left_anti")
