@@ -3,12 +3,14 @@
 Every text becomes the set of its distinct word shingles (hashed to 64 bits). A set's shingles are
 ordered rare first by document counts of the whole corpus, kept in a table of fixed size. Two sets
 that reach the threshold share a shingle within their prefixes, so joining prefixes finds all pairs;
-length and positional filters drop pairs within the join, the suffix filter (overlap bound from
-counts per hash range) before the sets are fetched, and each remaining pair is verified once.
+length, positional and suffix filters drop pairs within the join, and each remaining pair is verified
+once. The suffix filter bounds the whole overlap: the sets' members are dealt into ``RANGES`` hash
+ranges, and ranges with an even count on one side and an odd one on the other differ by one at least.
 
 Groups of copies stay linear. Equal sets are one node from the start. Then every node is compared
-with one pivot of a few of its prefix shingles, which joins near copies to components; only shingles
-that still span two components are joined pair by pair, and only across components. Pairs within a
+with one pivot of a few of its prefix shingles, and what is left open with one pivot of each, which
+joins near copies to components; only shingles that still span two components are joined pair by
+pair, and only across components. Pairs within a
 component cannot change it, so the components are exact.
 
 Null or empty text, or text without words: an empty set, linked with nothing. Null document ids:
@@ -33,13 +35,13 @@ from walletlens.session import materialize
 #: Size of the table of document counts. Shingles that share a cell count as frequent as both.
 COUNT_CELLS = 1 << 19
 #: Hash ranges of the suffix filter.
-RANGES = 16
+RANGES = 256
 #: Prefix shingles per document whose pivot it is compared with before the pairwise join.
 PIVOTS = 3
 #: Most rows of at most 24 bytes that are broadcast in a join; more are shuffled.
 BROADCAST_ROWS = 500_000
 
-_PROFILE = "node_doc long, n long, digest binary, ranges array<int>, cell int, cell_docs long"
+_PROFILE = "node_doc long, n long, digest binary, parity array<bigint>, cell int, cell_docs long"
 _PREFIX = "shingle long, digest binary, n int, pos int"
 _SETS = "node_doc long, digest binary, members binary"
 
@@ -53,20 +55,20 @@ def _profiles(size: int, cells: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, counts = WordHashes(), set(), np.zeros(cells, np.int64)
-        empty = np.zeros(RANGES, np.int32)
+        nothing_in = np.zeros(RANGES // 64, np.int64)
         for batch in batches:
             for first, texts in chunks(batch, 1):
-                sizes, digests, ranges, new = [], [], [], []
+                sizes, digests, parities, new = [], [], [], []
                 for run_of in shingle_runs(hashes, texts, size):
                     members = np.unique(run_of)
                     sizes.append(len(members))
                     digest = _digest(members)
                     digests.append(digest)
                     if not len(members):
-                        ranges.append(empty)
+                        parities.append(nothing_in)
                         continue
-                    spread = np.bincount((members >> np.uint64(60)).astype(np.intp), minlength=RANGES)
-                    ranges.append(spread.astype(np.int32))
+                    counts_in = np.bincount((members >> np.uint64(56)).astype(np.intp), minlength=RANGES)
+                    parities.append(np.packbits(counts_in & 1).view(np.int64))
                     if digest not in seen:
                         seen.add(digest)
                         new.append(members)
@@ -79,11 +81,11 @@ def _profiles(size: int, cells: int):
                         batch.column(0).slice(first, rows),
                         pa.array(sizes, pa.int64()),
                         pa.array(digests, pa.binary()),
-                        pa.array(ranges, pa.list_(pa.int32())),
+                        pa.array(parities, pa.list_(pa.int64())),
                         pa.nulls(rows, pa.int32()),
                         pa.nulls(rows, pa.int64()),
                     ],
-                    ["node_doc", "n", "digest", "ranges", "cell", "cell_docs"],
+                    ["node_doc", "n", "digest", "parity", "cell", "cell_docs"],
                 )
         used = np.flatnonzero(counts)
         nothing = pa.nulls(len(used), pa.int64())
@@ -92,11 +94,11 @@ def _profiles(size: int, cells: int):
                 nothing,
                 nothing,
                 pa.nulls(len(used), pa.binary()),
-                pa.nulls(len(used), pa.list_(pa.int32())),
+                pa.nulls(len(used), pa.list_(pa.int64())),
                 pa.array(used.astype(np.int32)),
                 pa.array(counts[used]),
             ],
-            ["node_doc", "n", "digest", "ranges", "cell", "cell_docs"],
+            ["node_doc", "n", "digest", "parity", "cell", "cell_docs"],
         )
 
     return run
@@ -170,29 +172,23 @@ def _linked(percent: int):
 
 
 def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows with one shingle that pass the length and positional filters.
+    """Distinct pairs (a, b), a < b, of rows with one shingle that pass the length, positional and suffix filters.
 
-    Linked sets share at least percent * (n1 + n2) / (100 + percent) shingles. At the first shingle
-    that two sets share, no more can follow than the shorter rest holds.
+    Linked sets share at least percent * (n1 + n2) / (100 + percent) shingles, so at most
+    (100 - percent) * (n1 + n2) / (100 + percent) are in one of them only. At the first shingle that
+    two sets share, no more can follow than the shorter rest holds.
     """
     x, y = left.alias("x"), right.alias("y")
+    odd = " + ".join(f"bit_count(x.parity[{k}] ^ y.parity[{k}])" for k in range(RANGES // 64))
     fits = (
         f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND "
-        f"{100 + percent} * (least(x.n - x.pos, y.n - y.pos)) >= {percent} * (x.n + y.n)"
+        f"{100 + percent} * least(x.n - x.pos, y.n - y.pos) >= {percent} * (x.n + y.n) AND "
+        f"{100 + percent} * ({odd}) <= {100 - percent} * (x.n + y.n)"
     )
     joined = x.join(y, F.expr(f"x.shingle = y.shingle AND {apart} AND {fits}"))
     return joined.selectExpr("least(x.digest, y.digest) AS a", "greatest(x.digest, y.digest) AS b").distinct()
 
 
-def _bounded(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose counts per hash range leave room for the overlap they need (suffix filter)."""
-    x = sizes.selectExpr("digest AS a", "n AS n_a", "ranges AS r_a")
-    y = sizes.selectExpr("digest AS b", "n AS n_b", "ranges AS r_b")
-    most = "aggregate(zip_with(r_a, r_b, (k, l) -> least(k, l)), 0, (total, k) -> total + k)"
-    counted = pairs.join(x, "a").join(y, "b")
-    return counted.filter(f"{100 + percent} * {most} >= {percent} * (n_a + n_b)").select("a", "b")
-
-
 def small(rows: DataFrame) -> DataFrame:
     """``rows`` (written, of few short columns) marked for broadcast if there are few enough; a shuffle join beyond."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -227,7 +223,7 @@ def similar_documents(
     spark = documents.sparkSession
     docs = documents.select(F.col(id_column).cast("long").alias("node_doc"), F.col(text_column).alias("node_text"))
     seen = materialize(docs.mapInArrow(_profiles(size, cells), _PROFILE), "jaccard-profiles")
-    profiles = seen.filter("cell IS NULL").select("node_doc", "n", "digest", "ranges")
+    profiles = seen.filter("cell IS NULL").select("node_doc", "n", "digest", "parity")
 
     counts = np.zeros(cells, np.int64)  # at most this many rows come to the driver
     summed = seen.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cell_docs").alias("docs")).toPandas()
@@ -246,31 +242,39 @@ def similar_documents(
     postings = materialize(postings, "jaccard-postings")
     nodes = materialize(postings.select("digest").distinct(), "jaccard-nodes")
     sizes = profiles.join(nodes, "digest", "left_semi").filter("node_doc IS NOT NULL")
-    sizes = sizes.groupBy("digest").agg(F.min("node_doc").alias("node_doc"), F.min("n").alias("n"), F.min("ranges").alias("ranges"))
+    sizes = sizes.groupBy("digest").agg(F.min("node_doc").alias("node_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"))
     sizes = materialize(sizes, "jaccard-sizes")
-    few = Window.partitionBy("digest").orderBy(F.xxhash64("shingle"))
-    tried = postings.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= PIVOTS).drop("rank")
-    pivots = postings.groupBy("shingle").agg(
-        F.min(F.struct(F.xxhash64("digest", "shingle"), "digest", "n", "pos")).alias("pivot")
-    )
-    pivots = pivots.select("shingle", "pivot.digest", "pivot.n", "pivot.pos")
-    stars = _bounded(_pairs(tried, pivots, percent, "x.digest <> y.digest"), sizes, percent)
-    stars = materialize(stars, "jaccard-stars")
-    links = materialize(_verified(stars, docs, sizes, size, percent), "jaccard-links")
-    labels = connected_components(links)
+    postings = postings.join(sizes.select("digest", "parity"), "digest")
 
     def with_label(rows: DataFrame, known: DataFrame) -> DataFrame:
         rows = rows.join(known.withColumnRenamed("node", "digest"), "digest", "left")
         return rows.withColumn("label", F.coalesce("label", "digest"))
 
-    labelled = with_label(postings, labels)
-    across = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    across = across.filter("low <> high").select("shingle")
-    open_postings = materialize(labelled.join(across, "shingle", "left_semi"), "jaccard-open")
-    rest = _pairs(open_postings, open_postings, percent, "x.label < y.label").join(stars, ["a", "b"], "left_anti")
-    rest = materialize(_bounded(rest, sizes, percent), "jaccard-rest")
-    more = materialize(_verified(rest, docs, sizes, size, percent), "jaccard-links")
-    labels = connected_components(links.union(more))
+    def still_open(labels: DataFrame) -> DataFrame:
+        """The postings of shingles that span two components."""
+        labelled = with_label(postings, labels)
+        across = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        across = across.filter("low <> high").select("shingle")
+        return materialize(labelled.join(across, "shingle", "left_semi"), "jaccard-open")
+
+    def with_pivots(tried: DataFrame, among: DataFrame) -> DataFrame:
+        pivot = F.min_by(F.struct("digest", "n", "pos", "parity", "label"), F.xxhash64("digest", "shingle"))
+        pivots = among.groupBy("shingle").agg(pivot.alias("pivot")).select("shingle", "pivot.*")
+        return _pairs(tried, pivots, percent, "x.label <> y.label")
+
+    few = Window.partitionBy("digest").orderBy(F.xxhash64("shingle"))
+    alone = materialize(postings.withColumn("label", F.col("digest")), "jaccard-open")
+    tried = alone.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= PIVOTS).drop("rank")
+    done = materialize(with_pivots(tried, alone), "jaccard-pairs")
+    links = materialize(_verified(done, docs, sizes, size, percent), "jaccard-links")
+    labels = connected_components(links)
+    for step in ("pivots", "all"):
+        rows = still_open(labels)
+        pairs = with_pivots(rows, rows) if step == "pivots" else _pairs(rows, rows, percent, "x.label < y.label")
+        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        found = materialize(_verified(pairs, docs, sizes, size, percent), "jaccard-links")
+        done, links = done.unionByName(pairs), links.unionByName(found)
+        labels = connected_components(links)
 
     named = with_label(profiles, labels).withColumn("label", F.when(F.col("n") > 0, F.col("label")))
     first = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("node_doc").alias("component_id"))
