@@ -168,12 +168,13 @@ def test_requested_users(spark):
         [("a", 2025, 4), ("a", 2025, 5), ("a", 2025, 6), ("z", 2025, 4), ("a", 2025, 4)],
         "user_id string, year int, month int",
     )
-    for limit in (profile.BROADCAST_REQUESTS, 0):
-        profile.BROADCAST_REQUESTS, before = limit, profile.BROADCAST_REQUESTS
+    for threshold in ("10MB", "-1"):  # the requests broadcast, and joined by shuffle
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         try:
             rows = profile.requested_profiles(t, asked).collect()
         finally:
-            profile.BROADCAST_REQUESTS = before
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         found = {(r.user_id, r.month): (r.status, r.answer) for r in rows}
         assert len(rows) == 4
         assert found["a", 4][0] == "ok" and found["a", 4][1].startswith("User a monthly")

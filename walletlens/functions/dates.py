@@ -49,6 +49,5 @@ def month_name(year: Column, month: Column) -> Column:
 
 def iso_text(timestamp: Column) -> Column:
     """ISO text; a fraction of a second is shown only where there is one."""
-    seconds = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(timestamp, "SSSSSS")
-    return F.when(micros == "000000", seconds).otherwise(F.concat(seconds, F.lit("."), micros))
+    text = F.translate(timestamp.cast("timestamp_ntz").cast("string"), " ", "T")
+    return F.when(F.contains(text, F.lit(".")), F.rpad(text, 26, "0")).otherwise(text)

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from walletlens.functions.dates import month_limits, ntz
+from walletlens.functions.dates import check_month, month_limits, ntz
 from walletlens.functions.numbers import MAX_AMOUNT, parse_amount
 from walletlens.functions.text import combine_tags
 from walletlens.schema import CASH_IN, RAW_COLUMNS, SPEND, TRANSACTION_SCHEMA
@@ -113,6 +113,7 @@ def has_segment() -> Column:
 
 def in_month(t: DataFrame, year: int, month: int) -> DataFrame:
     """On the fact table this prunes partitions."""
+    check_month(month)
     return t.filter((F.col("year") == year) & (F.col("month") == month))
 
 

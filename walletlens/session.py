@@ -33,11 +33,13 @@ def build_session(app: str = "walletlens", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or a local one where unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``; in local mode a temporary one where unset."""
     global _local_dir
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = tempfile.mkdtemp(prefix="walletlens-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)

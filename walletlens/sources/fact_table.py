@@ -7,6 +7,8 @@ neither a hot month nor thousands of small files come out of one load.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +34,8 @@ def load_batch(t: DataFrame, root: str, batch_id: str) -> None:
     Equal rows within a batch are kept. The overwrite is static on the batch's own folder:
     overwriting only the months present would leave rows of months a corrected batch dropped.
     """
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
+        raise ValueError(f"batch_id must be a plain name of letters, digits, '.', '_' and '-', got {batch_id!r}")
     path = f"{root.rstrip('/')}/batch_id={batch_id}"
     (
         _laid_out(t)

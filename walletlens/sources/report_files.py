@@ -44,10 +44,13 @@ def latest_reports(reports: DataFrame) -> DataFrame:
     """The newest report per user-month.
 
     An aggregate, so that many versions of one report are reduced before they are shuffled;
-    ``max_by`` on the run keeps every column of the same report.
+    ``max_by`` on the run keeps every column of the same report. A report without a run counts as
+    the oldest, and of two reports of one run the one whose JSON text sorts last is taken.
     """
     report = F.struct(*REPORT_COLUMNS)
-    newest = reports.groupBy("metadata").agg(F.max_by(report, "run_ts").alias("r"))
+    newest = reports.groupBy("metadata").agg(
+        F.max_by(report, F.struct("run_ts", F.to_json(report))).alias("r")
+    )
     return newest.select([F.col(f"r.{name}").alias(name) for name in REPORT_COLUMNS])
 
 
