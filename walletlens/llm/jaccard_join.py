@@ -1,7 +1,10 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
 Every text becomes the set of its distinct word shingles (hashed to 64 bits). A set's shingles are
-ordered rare first by document counts of the whole corpus, kept in a table of fixed size. Two sets
+ordered rare first by counts of the whole corpus, kept in two tables of fixed size: shingles whose
+cell holds clearly more documents than cells do on average come last, and among the others those of
+rarer words come first, because a table of fixed size cannot tell rare shingles apart. Any order
+that is the same for all sets gives exact results. Two sets
 that reach the threshold share a shingle within their prefixes, so joining prefixes finds all pairs;
 length, positional and suffix filters drop pairs within the join, and each remaining pair is verified
 once. The suffix filter bounds the whole overlap: the sets' members are dealt into ``RANGES`` hash
@@ -29,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from walletlens.llm.components import connected_components
-from walletlens.llm.words import WordHashes, chunks, shingle_runs
+from walletlens.llm.words import WordHashes, chunks, shingle_runs, word_and_shingle_runs
 from walletlens.session import materialize
 
-#: Size of the table of document counts. Shingles that share a cell count as frequent as both.
-COUNT_CELLS = 1 << 19
+#: Size of the tables of shingles and of words. What shares a cell counts as frequent as all in it.
+COUNT_CELLS = 1 << 18
 #: Hash ranges of the suffix filter.
 RANGES = 256
 #: Prefix shingles per document whose pivot it is compared with before the pairwise join.
@@ -50,16 +53,32 @@ def _digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
+def _cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
+    return (hashes & np.uint64(cells - 1)).astype(np.intp)
+
+
+def _rarity(counts: np.ndarray, cells: int) -> np.ndarray:
+    """The tables that order shingles: how far a shingle's cell is above chance, and how common a word is.
+
+    A cell that holds only chance company stays within a few roots of the mean, and counts as 0.
+    """
+    documents, words = counts[:cells], counts[cells:]
+    mean = documents.mean()
+    above = np.maximum(documents - (mean + 4 * np.sqrt(mean) + 1), 0)
+    common = np.rint(64 * np.log2(words + 1.0))
+    return np.concatenate([np.ceil(above), common]).astype(np.int64)
+
+
 def _profiles(size: int, cells: int):
-    """Per document its set's size, digest and counts per hash range; per task counts of each cell."""
+    """Per document its set's size, digest and parities; per task counts of shingle cells, then of word cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counts = WordHashes(), set(), np.zeros(cells, np.int64)
+        hashes, seen, counts = WordHashes(), set(), np.zeros(2 * cells, np.int64)
         nothing_in = np.zeros(RANGES // 64, np.int64)
         for batch in batches:
             for first, texts in chunks(batch, 1):
-                sizes, digests, parities, new = [], [], [], []
-                for run_of in shingle_runs(hashes, texts, size):
+                sizes, digests, parities, new, words_of_new = [], [], [], [], []
+                for words, run_of in word_and_shingle_runs(hashes, texts, size):
                     members = np.unique(run_of)
                     sizes.append(len(members))
                     digest = _digest(members)
@@ -72,9 +91,10 @@ def _profiles(size: int, cells: int):
                     if digest not in seen:
                         seen.add(digest)
                         new.append(members)
+                        words_of_new.append(words)
                 if new:
-                    at = (np.concatenate(new) & np.uint64(cells - 1)).astype(np.intp)
-                    counts += np.bincount(at, minlength=cells)
+                    counts[:cells] += np.bincount(_cells_of(np.concatenate(new), cells), minlength=cells)
+                    counts[cells:] += np.bincount(_cells_of(np.concatenate(words_of_new), cells), minlength=cells)
                 rows = len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -104,22 +124,25 @@ def _profiles(size: int, cells: int):
     return run
 
 
-def _prefixes(size: int, cells: int, counts, percent: int):
+def _prefixes(size: int, cells: int, rarity, percent: int):
     """The rarest shingles of each set: enough that two linked sets share one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, table = WordHashes(), set(), np.frombuffer(counts.value, np.int64)
+        hashes, seen, table = WordHashes(), set(), np.frombuffer(rarity.value, np.int64)
+        frequent, common = table[:cells], table[cells:]
         for batch in batches:
             for _, texts in chunks(batch, 1):
                 kept, digests, sizes = [], [], []
-                for run_of in shingle_runs(hashes, texts, size):
-                    members = np.unique(run_of)
+                for words, run_of in word_and_shingle_runs(hashes, texts, size):
+                    members, first = np.unique(run_of, return_index=True)
                     total = len(members)
                     if not total or (digest := _digest(members)) in seen:
                         continue
                     seen.add(digest)
                     length = total - -(-percent * total // 100) + 1
-                    rare_first = np.argsort(table[(members & np.uint64(cells - 1)).astype(np.intp)], kind="stable")
+                    common_words = common[_cells_of(words, cells)]
+                    of_run = sum(common_words[k : k + len(run_of)] for k in range(min(size, len(words))))
+                    rare_first = np.lexsort((of_run[first], frequent[_cells_of(members, cells)]))
                     kept.append(members[rare_first[:length]])
                     digests.append(digest)
                     sizes.append(total)
@@ -225,10 +248,10 @@ def similar_documents(
     seen = materialize(docs.mapInArrow(_profiles(size, cells), _PROFILE), "jaccard-profiles")
     profiles = seen.filter("cell IS NULL").select("node_doc", "n", "digest", "parity")
 
-    counts = np.zeros(cells, np.int64)  # at most this many rows come to the driver
+    counts = np.zeros(2 * cells, np.int64)  # at most this many rows come to the driver
     summed = seen.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cell_docs").alias("docs")).toPandas()
     counts[summed["cell"].to_numpy(dtype=np.intp)] = summed["docs"].to_numpy(dtype=np.int64)
-    shared = spark.sparkContext.broadcast(counts.tobytes())
+    shared = spark.sparkContext.broadcast(_rarity(counts, cells).tobytes())
 
     prefixes = docs.filter("node_doc IS NOT NULL").mapInArrow(_prefixes(size, cells, shared, percent), _PREFIX)
     same = Window.partitionBy("shingle")
@@ -244,15 +267,17 @@ def similar_documents(
     sizes = profiles.join(nodes, "digest", "left_semi").filter("node_doc IS NOT NULL")
     sizes = sizes.groupBy("digest").agg(F.min("node_doc").alias("node_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"))
     sizes = materialize(sizes, "jaccard-sizes")
-    postings = postings.join(sizes.select("digest", "parity"), "digest")
+    few = Window.partitionBy("digest").orderBy(F.xxhash64("shingle"))
+    rows = postings.join(sizes.select("digest", "parity"), "digest").withColumn("rank", F.row_number().over(few))
+    rows = materialize(rows.withColumn("label", F.col("digest")), "jaccard-open")
 
     def with_label(rows: DataFrame, known: DataFrame) -> DataFrame:
         rows = rows.join(known.withColumnRenamed("node", "digest"), "digest", "left")
         return rows.withColumn("label", F.coalesce("label", "digest"))
 
-    def still_open(labels: DataFrame) -> DataFrame:
-        """The postings of shingles that span two components."""
-        labelled = with_label(postings, labels)
+    def still_open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows of shingles that span two components; as components only grow, no other can open again."""
+        labelled = with_label(rows.drop("label"), labels)
         across = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         across = across.filter("low <> high").select("shingle")
         return materialize(labelled.join(across, "shingle", "left_semi"), "jaccard-open")
@@ -262,14 +287,11 @@ def similar_documents(
         pivots = among.groupBy("shingle").agg(pivot.alias("pivot")).select("shingle", "pivot.*")
         return _pairs(tried, pivots, percent, "x.label <> y.label")
 
-    few = Window.partitionBy("digest").orderBy(F.xxhash64("shingle"))
-    alone = materialize(postings.withColumn("label", F.col("digest")), "jaccard-open")
-    tried = alone.withColumn("rank", F.row_number().over(few)).filter(F.col("rank") <= PIVOTS).drop("rank")
-    done = materialize(with_pivots(tried, alone), "jaccard-pairs")
+    done = materialize(with_pivots(rows.filter(F.col("rank") <= PIVOTS), rows), "jaccard-pairs")
     links = materialize(_verified(done, docs, sizes, size, percent), "jaccard-links")
     labels = connected_components(links)
     for step in ("pivots", "all"):
-        rows = still_open(labels)
+        rows = still_open(rows, labels)
         pairs = with_pivots(rows, rows) if step == "pivots" else _pairs(rows, rows, percent, "x.label < y.label")
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
         found = materialize(_verified(pairs, docs, sizes, size, percent), "jaccard-links")

@@ -69,16 +69,25 @@ def short_shingle(words: np.ndarray) -> np.ndarray:
 
 def shingle_runs(hashes: WordHashes, texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """The shingle hashes of each text, in order and with repeats; empty for a text without words."""
+    for _, run in word_and_shingle_runs(hashes, texts, size):
+        yield run
+
+
+def word_and_shingle_runs(
+    hashes: WordHashes, texts: list[bytes], size: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The word hashes and the shingle hashes of each text, as ``shingle_runs`` gives them."""
     split = [lower_words(text) for text in texts]
     ends = np.cumsum([len(words) for words in split])
     all_words = hashes.of([word for words in split for word in words])
     runs = rolling(all_words, size)
     start = 0
     for end in ends:
+        words = all_words[start:end]
         if end - start >= size:
-            yield runs[start : end - size + 1]
+            yield words, runs[start : end - size + 1]
         elif end > start:
-            yield short_shingle(all_words[start:end])
+            yield words, short_shingle(words)
         else:
-            yield all_words[:0]
+            yield words, words
         start = end
