@@ -52,8 +52,13 @@ def test_two_decimals_on_random_midpoints(spark):
     assert_like_python(spark, large + small + [-x for x in small])
 
 
+def test_two_decimals_of_large_doubles(spark):
+    eighths = [9.1e13 + k / 64 for k in range(64)] + [8.9e13 + k / 64 for k in range(64)]
+    assert_like_python(spark, eighths + [-x for x in eighths] + [2.0**52 + 0.5, 2.0**53 + 2, 9.2e18, 1e15 + 0.125])
+
+
 @settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(min_value=-8e13, max_value=8e13), min_size=1, max_size=200))
+@given(st.lists(st.floats(min_value=-9.2e18, max_value=9.2e18), min_size=1, max_size=200))
 def test_two_decimals_on_any_double(spark, values):
     assert_like_python(spark, values)
 

@@ -120,16 +120,25 @@ def test_exact_sum(spark):
         "fine": [0.00000001] * 1000,
         "mixed": [1e11 + 0.25, -1e11, 0.0001, 0.1, 0.2],
         "tenths": [0.1] * 1000,
+        "tiny": [1e-9] * 5000,
+        "long": [0.1234567891234],
     }
     rows = [(name, x) for name, values in cases.items() for x in values]
     df = spark.createDataFrame(rows, "name string, x double").repartition(7)
     found = df.groupBy("name").agg(exact_sum(F.col("x")).cast("double").alias("s")).collect()
     money = sum(round(x * 10000) for x in cases["money"]) / 10000
     assert {r.name: r.s for r in found} == {
-        "money": money, "fine": 0.00001, "mixed": 0.5501, "tenths": 100.0
+        "money": money, "fine": 0.00001, "mixed": 0.5501, "tenths": 100.0,
+        "tiny": 0.000005, "long": 0.12345679,
     }
 
 
+def test_exact_sum_of_many_large_amounts(spark):
+    for sign in (1, -1):
+        total = spark.range(2_000_000).agg(exact_sum(F.lit(sign * 8.9e14))).first()[0]
+        assert total == sign * 178 * 10**19
+
+
 def test_amounts_too_large_to_sum_raise(spark):
     for amount in (1e15, -1e300, float("nan"), float("inf")):
         df = spark.createDataFrame([(amount,), (None,)], "x double")

@@ -13,6 +13,8 @@ _NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infin
 
 # Up to here a double holds every whole number of cents.
 _CENTS_EXACT_BELOW = 9.0e13
+# Up to here the part before the point fits into 64 bits.
+_WHOLE_BELOW = float(1 << 63)
 _SPLITTER = float((1 << 27) + 1)
 
 
@@ -24,8 +26,9 @@ def exact_sum(amount: Column) -> Column:
     """Exact decimal sum of an amount column; sums of doubles would depend on the row order.
 
     An amount is a whole number of ten-thousandths plus what is left of it beyond four
-    decimals (nothing, for money). Both are summed as whole numbers, the first in two parts
-    so that no count of rows overflows; that costs a fraction of summing decimals.
+    decimals (nothing, for money). Both are summed as whole numbers in parts of 20 bits, none of
+    which overflows below 8e12 rows; that costs a fraction of summing decimals. The sum has
+    eight decimals and may reach 1e22.
     From 9e11 on, where doubles are more than 0.0001 apart, an amount counts to within half
     of that distance. NaN and amounts of 9e14 and more raise; the loader keeps them out.
     """
@@ -36,10 +39,16 @@ def exact_sum(amount: Column) -> Column:
     units = F.rint(amount * 10000.0)
     rest = F.rint((amount - units / 10000.0) * 1e12).cast("bigint")
     units = units.cast("bigint")
-    high = F.sum(F.shiftright(units, 20)).cast("decimal(20,0)") * (1 << 20)
-    low = F.sum(units.bitwiseAND(F.lit((1 << 20) - 1)))
-    total = (high + low) * F.lit(Decimal("0.0001"))
-    return (total + F.sum(rest) * F.lit(Decimal("1E-12"))).cast(MONEY)
+    bits = F.lit((1 << 20) - 1)
+    high = F.sum(F.shiftright(units, 40)).cast("decimal(19,0)") * F.lit(Decimal(1 << 40))
+    middle = F.sum(F.shiftright(units, 20).bitwiseAND(bits)).cast("decimal(19,0)") * F.lit(Decimal(1 << 20))
+    low = F.sum(units.bitwiseAND(bits)).cast("decimal(19,0)")
+    # Spark drops decimals of a sum that might need more than 38 digits, hence the narrower types.
+    total = ((high + middle + low).cast("decimal(26,0)") * F.lit(Decimal("0.0001"))).cast("decimal(26,4)")
+    beyond = F.sum(F.shiftright(rest, 20)).cast("decimal(19,0)") * F.lit(Decimal(1 << 20))
+    beyond = (beyond + F.sum(rest.bitwiseAND(bits)).cast("decimal(19,0)")).cast("decimal(24,0)")
+    beyond = (beyond * F.lit(Decimal("1E-12"))).cast("decimal(24,12)")
+    return (total + beyond).cast(MONEY)
 
 
 def no_money() -> Column:
@@ -72,14 +81,21 @@ def _cents(x: Column) -> Column:
 
 def round_cents(x: Column) -> Column:
     """the double that ``two_decimals`` reads as."""
-    return F.when(F.abs(x) < _CENTS_EXACT_BELOW, _cents(x) / 100.0).otherwise(x)
+    return F.when(F.abs(x) < _CENTS_EXACT_BELOW, _cents(x) / 100.0).otherwise(two_decimals(x).cast("double"))
 
 
 def two_decimals(x: Column) -> Column:
-    """the double as text with two decimals; what rounds to zero keeps its sign."""
-    size = _cents(F.abs(x)).cast("bigint").cast("decimal(16,0)") * F.lit(Decimal("0.01"))
-    text = F.concat(F.when(x < 0, "-").otherwise(""), size.cast("string"))
-    return F.when(F.abs(x) < _CENTS_EXACT_BELOW, text).otherwise(F.format_string("%.2f", x))
+    """the double as text with two decimals; what rounds to zero keeps its sign.
+
+    The part before the point is cut off exactly, so the cents of the rest are rounded alike at
+    every size. From 2^63 on the digits are Java's shortest ones, followed by zeros.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    cents = _cents(size - whole.cast("double")).cast("int")
+    carried = F.when(cents == 100, whole + 1).otherwise(whole).cast("string")
+    text = F.concat(F.when(x < 0, "-").otherwise(""), carried, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    return F.when(size < _WHOLE_BELOW, text).otherwise(F.format_string("%.2f", x))
 
 
 def share_percent(part: Column, total: Column) -> Column:

@@ -12,6 +12,7 @@ from walletlens.operators.aggregates import monthly_stats
 from walletlens.operators.cleaning import (
     TAG_COLUMNS,
     coerce_transactions,
+    for_user_month,
     is_spend,
     process_raw,
     quarantined,
@@ -77,6 +78,16 @@ def transaction_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly_stats(read_transactions(spark, root))
 
 
+def stored_user_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's month of the stored table: the first user's first."""
+    root = scratch_path(spark, "stored")
+    transactions = order_transactions(spark, sf_dir)
+    append_transactions(transactions, root)
+    wanted = transactions.agg(F.min(F.struct("user_id", "year", "month"))).first()[0]
+    found = for_user_month(read_transactions(spark, root), wanted.user_id, wanted.year, wanted.month)
+    return _iso(found)
+
+
 def replay_safe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "batches")
     transactions = order_transactions(spark, sf_dir)
@@ -147,6 +158,13 @@ QUERIES = {
         t AS (SELECT * FROM one UNION ALL SELECT * FROM one), {oracle.STATS}
         SELECT {_STATS_COLUMNS} FROM stats""",
     ),
+    "stored_user_month": (
+        stored_user_month,
+        f"""WITH {oracle.ORDERS} SELECT user_id, {_ISO} AS timestamp, transaction_type,
+          transaction_method, amount, segment_tag, year, month
+        FROM t WHERE (user_id, year, month) =
+          (SELECT (user_id, year, month) FROM t ORDER BY user_id, year, month LIMIT 1)""",
+    ),
     "replay_safe_load": (
         replay_safe_load,
         f"""WITH {oracle.ORDERS}

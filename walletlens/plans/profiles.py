@@ -93,6 +93,8 @@ _TOP = f"""top AS (SELECT {_KEYS}, transaction_method, n, amt, CAST(row_number()
     PARTITION BY {_KEYS} ORDER BY amt DESC, transaction_method) AS INTEGER) AS rank
   FROM methods WHERE transaction_type = 'SPEND')"""
 _LIST_CHUNK = 20
+#: One of the many months of the orders.
+_MONTH = (1997, 5)
 
 QUERIES = {
     "monthly_stats": (
@@ -158,6 +160,19 @@ QUERIES = {
           GROUP BY user_id HAVING count(*) >= 60) a
         WHERE total_spend >= 800 AND total_cash_in >= 600 ORDER BY user_id LIMIT 1000""",
     ),
+    "monthly_transactions_orders": (
+        _on_orders(aggregates.monthly_transactions, *_MONTH),
+        f"""WITH {_O} SELECT user_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp,
+          transaction_type, transaction_method, coalesce(amount, 0.0) AS amount, segment_tag
+        FROM t WHERE year = {_MONTH[0]} AND month = {_MONTH[1]}""",
+    ),
+    "first_active_users": (
+        _on_orders(aggregates.active_users, *_MONTH, 1, 5),
+        f"""WITH {_O} SELECT user_id, count(*) AS transaction_count, {oracle.total('SPEND')} AS total_spend,
+          {oracle.total('CASH-IN')} AS total_cash_in
+        FROM t WHERE year = {_MONTH[0]} AND month = {_MONTH[1]}
+        GROUP BY user_id ORDER BY user_id LIMIT 5""",
+    ),
     "distinct_users": (
         _on_events(aggregates.distinct_users),
         f"WITH {_E} SELECT DISTINCT user_id FROM t",

@@ -103,6 +103,12 @@ def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_display(read_reports(spark, root, year=2024, month="January"))
 
 
+def report_lookup_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's report out of all."""
+    written = read_reports(spark, _written_reports(spark, sf_dir))
+    return reports.report_display(written, user_id="1", year=2024, month="January")
+
+
 def fitted_safety(spark: SparkSession, sf_dir: str) -> PipelineModel:
     """The classifier, fitted on the training part of the labelled documents."""
     labelled = table(spark, sf_dir, "documents").join(
@@ -188,6 +194,12 @@ QUERIES = {
         SELECT user_id, year, month, {_TITLES} AS title, approach, ethical_flag, confidence,
           similarity_score, output_text FROM flat""",
     ),
+    "report_lookup_user": (
+        report_lookup_user,
+        f"""WITH {oracle.CANDIDATES}, flat AS ({oracle.REPORT_ROWS})
+        SELECT user_id, year, month, {_TITLES} AS title, approach, ethical_flag, confidence,
+          similarity_score, output_text FROM flat WHERE user_id = '1'""",
+    ),
     "safety_classifier": (safety_classifier, None),
     "text_embedding": (text_embedding, None),
     "winner_reuse": (winner_reuse, None),
