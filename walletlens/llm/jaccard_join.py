@@ -46,13 +46,20 @@ BROADCAST_ROWS = 500_000
 
 _PROFILE = "node_doc long, n long, digest binary, parity array<bigint>, cell int, cell_docs long"
 _PREFIX = "shingle long, digest binary, n int, pos int"
-_SETS = "node_doc long, digest binary, members binary"
+_SETS = "node_doc long, digest binary, n long, sketch binary, members binary"
 
 
 def _digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
+def _sketch(members: np.ndarray) -> bytes:
+    """One parity bit for each of at least four hash ranges per member: a sixteenth to an eighth of the set."""
+    ranges = 1 << max(6, (4 * len(members) - 1).bit_length())
+    counts = np.bincount((members & np.uint64(ranges - 1)).astype(np.intp), minlength=ranges)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes & np.uint64(cells - 1)).astype(np.intp)
 
@@ -173,14 +180,34 @@ def _member_sets(size: int):
                     [
                         batch.column(0).slice(first, len(texts)),
                         pa.array(map(_digest, sets), pa.binary()),
+                        pa.array(map(len, sets), pa.int64()),
+                        pa.array(map(_sketch, sets), pa.binary()),
                         pa.array([x.tobytes() for x in sets], pa.binary()),
                     ],
-                    ["node_doc", "digest", "members"],
+                    ["node_doc", "digest", "n", "sketch", "members"],
                 )
 
     return run
 
 
+def _may_link(percent: int):
+    """The suffix filter at the resolution of the sets. Sketches fold by halves to the same ranges."""
+
+    @F.arrow_udf("boolean")
+    def may_reach(left: pa.Array, right: pa.Array, n_left: pa.Array, n_right: pa.Array) -> pa.Array:
+        out = []
+        for a, b, n, m in zip(*(x.to_pylist() for x in (left, right, n_left, n_right)), strict=True):
+            x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            while len(x) != len(y):
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            odd = int(np.unpackbits(x ^ y).sum())
+            out.append((100 + percent) * odd <= (100 - percent) * (n + m))
+        return pa.array(out, pa.bool_())
+
+    return may_reach
+
+
 def _linked(percent: int):
     @F.arrow_udf("boolean")
     def reaches(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -218,16 +245,26 @@ def small(rows: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The written ``pairs`` that reach the threshold. Only their sets are made, and each pair is verified once."""
+    """The written ``pairs`` that reach the threshold. Only their sets are made, and each pair is verified once.
+
+    Sketches travel first, so that whole sets travel only for pairs that are hardly ever apart.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     wanted = materialize(sizes.join(ends, "digest", "left_semi").select("node_doc", "digest"), "jaccard-wanted")
     wanted = small(wanted)
     texts = docs.join(wanted.select("node_doc"), "node_doc", "left_semi")
     made = texts.mapInArrow(_member_sets(size), _SETS).join(wanted, ["node_doc", "digest"], "left_semi")
-    sets = materialize(made.select("digest", "members"), "jaccard-sets")
-    left = sets.select(F.col("digest").alias("a"), F.col("members").alias("m_a"))
-    right = sets.select(F.col("digest").alias("b"), F.col("members").alias("m_b"))
-    return pairs.join(left, "a").join(right, "b").filter(_linked(percent)("m_a", "m_b")).select("a", "b")
+    sets = materialize(made.select("digest", "n", "sketch", "members"), "jaccard-sets")
+
+    def with_ends(pairs: DataFrame, *columns: str) -> DataFrame:
+        for end in ("a", "b"):
+            of_end = [F.col(name).alias(f"{name}_{end}") for name in columns]
+            pairs = pairs.join(sets.select(F.col("digest").alias(end), *of_end), end)
+        return pairs
+
+    close = with_ends(pairs, "n", "sketch").filter(_may_link(percent)("sketch_a", "sketch_b", "n_a", "n_b"))
+    close = materialize(close.select("a", "b"), "jaccard-close")
+    return with_ends(close, "members").filter(_linked(percent)("members_a", "members_b")).select("a", "b")
 
 
 def similar_documents(
