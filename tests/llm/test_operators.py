@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import json
+import random
 import re
 import zlib
 
@@ -353,6 +354,22 @@ def test_retrieval_prefers_related_tails():
     assert sorted(order) == list(range(8))
 
 
+def test_related_tails_of_a_whole_corpus_share_windows(spark):
+    rng = random.Random(8)
+    names = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(30)] for _ in range(16)]
+    texts = [" ".join(rng.choices(names[k % 16], k=20)) for k in range(256)]
+    shares = []
+    for step in (1, 5):  # the second time, stored in another order
+        rows = [(k * step % 256, texts[k * step % 256]) for k in range(256)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        by_sequence = collections.defaultdict(set)
+        for row in packing.pack(docs, size=512, shard=16).collect():
+            by_sequence[row.sequence_id].add(row.doc_id)
+        held = [collections.Counter(doc % 16 for doc in window) for window in by_sequence.values()]
+        shares.append(sum(max(window.values()) for window in held) / sum(window.total() for window in held))
+    assert min(shares) > 0.6
+
+
 def test_token_ids_equal_the_tokenizer(given, tokenizer):
     odd = ["", "a", "  x", " a", "a ", "a\n\nb", "a\n b", "it's don't", "日本 語", "a\tb c", "q" * 5000, "a  b", LONG]
     texts = [*list(given.values())[:300], *odd]

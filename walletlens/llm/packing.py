@@ -1,17 +1,22 @@
 """Lexical retrieval packing: documents with related words share training windows.
 
 Each document's ids (with an end id) are cut into full windows of their own and a tail. Tails are
-packed: a sharded BM25 index holds the tails of a shard by token id, and a window's seed retrieves
-its best unused neighbours, which fill the window in turn. The neighbour that does not fit is cut,
-and what is left of it seeds the next window. Without a neighbour left, the next unused tail follows.
+packed in two steps. First, about one tail for each window to be filled is drawn as a seed, by a hash
+of its content, and every other tail is scored by BM25 against every seed of the corpus and goes to
+the best one (ties: the seed with the smaller hash). Scores are sums of whole numbers, so they depend on
+no order. Then tails are dealt in ranges of (seed, score), so related tails are neighbours wherever
+they were stored and the tails of a common seed spread over tasks. Of a run of ``SHARD_TAILS``, a BM25
+index gives a window's seed its best unused neighbours, which fill the window in turn; the neighbour
+that does not fit is cut, and what is left of it seeds the next window. Without a neighbour left, the
+next unused tail follows. A corpus of one run needs no seeds.
 
 Document frequencies and the mean length are counted over all documents before anything is packed.
-A shard is a run of at most ``SHARD_TAILS`` tails of a partition, so index and scores are bounded,
-no shuffle is needed, and only the last window of a shard is not full. Every tail is in one shard
-index, and the search scores all tails of the shard that share a term.
+Seeds reach the tasks in blocks of about ``SEED_BLOCK``, and every tail meets every block: no candidate is left
+out, and the work grows with tails times seeds. Index and scores are bounded, and only the last window
+of a run is not full.
 
 Null or empty text: the end id alone. Repeated or null ids: each row is packed by itself. Equal
-scores: the earlier tail. Very long texts: many full windows. Empty table: no rows. Other columns
+scores in a run: the earlier tail. Very long texts: many full windows. Empty table: no rows. Other columns
 are not read.
 """
 
@@ -34,11 +39,20 @@ WINDOW = 2048
 END_ID = 1
 #: Tails in one shard of the index.
 SHARD_TAILS = 512
+#: Seeds and tails scored at a time, and the commonest terms, which are scored as a dense matrix.
+SEED_BLOCK = 1 << 14
+TAIL_BLOCK, STEP = 1 << 12, 1 << 8
+DENSE_TERMS = 1 << 10
+#: Steps of one for a term's weight. Sums below 2^24 are exact in single precision.
+STEPS = 128
+#: Tails a task packs, about.
+TASK_TAILS = 1 << 12
 #: BM25: saturation of repeats, and share of the length correction.
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENS = f"{_PIECE}, tail binary, counts array<long>"
+_ASSIGNED = "doc_id long, start long, doc_tokens long, tail binary, key long, seed long, score double"
 _COLUMNS = [part.split()[0] for part in _PIECE.split(", ")]
 
 
@@ -101,20 +115,25 @@ def _tokenised(tokenizer: tuple[str, str] | None, size: int):
     return run
 
 
+def _weighed(tails: list[np.ndarray], idf: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, term and BM25 weight of each telling term of each tail, by owner."""
+    lengths = np.array([len(x) for x in tails])
+    owner = np.repeat(np.arange(len(tails), dtype=np.int64), lengths)
+    key, repeats = np.unique(owner << 32 | np.concatenate(tails).astype(np.int64), return_counts=True)
+    owner, term = key >> 32, key & 0xFFFFFFFF
+    telling = idf[term] > 0
+    owner, term, repeats = owner[telling], term[telling], repeats[telling]
+    norm = K1 * (1 - B + B * lengths[owner] / mean)
+    return owner, term, idf[term] * repeats * (K1 + 1) / (repeats + norm)
+
+
 class ShardIndex:
     """BM25 scores of the tails of one shard, by token id."""
 
     def __init__(self, tails: list[np.ndarray], idf: np.ndarray, mean: float):
-        lengths = np.array([len(x) for x in tails])
-        owner = np.repeat(np.arange(len(tails), dtype=np.int64), lengths)
-        key, repeats = np.unique(owner << 32 | np.concatenate(tails).astype(np.int64), return_counts=True)
-        owner, term = key >> 32, key & 0xFFFFFFFF
-        telling = idf[term] > 0
-        owner, term, repeats = owner[telling], term[telling], repeats[telling]
+        owner, term, weight = _weighed(tails, idf, mean)
         self.count = len(tails)
         self.terms = np.split(term, np.searchsorted(owner, np.arange(1, self.count)))
-        norm = K1 * (1 - B + B * lengths[owner] / mean)
-        weight = idf[term] * repeats * (K1 + 1) / (repeats + norm)
         by_term = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[by_term], weight[by_term]
         bounds = np.bincount(term, minlength=len(idf)).cumsum()
@@ -147,6 +166,101 @@ def retrieval_order(tails: list[np.ndarray], idf: np.ndarray, mean: float, size:
     return order
 
 
+class SeedIndex:
+    """BM25 scores of the seeds of one block, for the terms of tails."""
+
+    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, mean: float, column: np.ndarray):
+        owner, term, weight = _weighed(seeds, idf, mean)
+        weight = np.rint(weight * STEPS).astype(np.float32)
+        self.column, self.count = column, len(seeds)
+        dense = column[term] >= 0
+        self.dense = np.zeros((int(column.max(initial=-1)) + 1, self.count), np.float32)
+        self.dense[column[term[dense]], owner[dense]] = weight[dense]
+        owner, term, weight = owner[~dense], term[~dense], weight[~dense]
+        by_term = np.argsort(term, kind="stable")
+        self.owner, self.weight = owner[by_term], weight[by_term]
+        self.size = np.bincount(term, minlength=len(idf))
+        self.stop = self.size.cumsum()
+
+    def scores(self, terms: list[np.ndarray]) -> np.ndarray:
+        """A row per list of distinct terms, a column per seed, in steps."""
+        row = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
+        term = np.concatenate(terms).astype(np.int64)
+        dense = self.column[term] >= 0
+        asked = np.zeros((len(terms), len(self.dense)), np.float32)
+        asked[row[dense], self.column[term[dense]]] = 1
+        out = asked @ self.dense
+        row, term = row[~dense], term[~dense]
+        sizes = self.size[term]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.stop[term] - ends, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        np.add.at(out.reshape(-1), np.repeat(row, sizes) * self.count + self.owner[at], self.weight[at])
+        return out
+
+
+def _assigned(blocks: list, idf, mean: float, dtype: str):
+    """Every tail with the best of all seeds and its score; a seed is its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.frombuffer(idf.value, np.float64)
+        common = np.flatnonzero(weights > 0)
+        common = common[np.argsort(weights[common], kind="stable")[:DENSE_TERMS]]
+        column = np.full(len(weights), -1)
+        column[common] = np.arange(len(common))
+
+        def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
+            terms = [np.unique(np.frombuffer(x, dtype)) for x in batch.column("tail").to_pylist()]
+            own = batch.column("key").to_numpy()
+            best, score = np.zeros(len(terms), np.int64), np.full(len(terms), -1.0)
+            for block in blocks:
+                keys, seeds = block.value
+                keys = np.frombuffer(keys, np.int64)
+                index = SeedIndex([np.frombuffer(x, dtype) for x in seeds], weights, mean, column)
+                for a in range(0, len(terms), STEP):
+                    found = index.scores(terms[a : a + STEP])
+                    first = found.argmax(axis=1)
+                    top, seed = found[np.arange(len(first)), first], keys[first]
+                    part = slice(a, a + STEP)
+                    better = (top > score[part]) | ((top == score[part]) & (seed < best[part]))
+                    best[part] = np.where(better, seed, best[part])
+                    score[part] = np.where(better, top, score[part])
+                seeded = np.isin(own, keys)
+                best[seeded], score[seeded] = own[seeded], np.inf
+            arrays = [*batch.columns, pa.array(best), pa.array(score)]
+            return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "seed", "score"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for a in range(0, batch.num_rows, TAIL_BLOCK):
+                held.append(batch.slice(a, TAIL_BLOCK))
+                if sum(x.num_rows for x in held) >= TAIL_BLOCK:
+                    yield scored(pa.concat_batches(held))
+                    held = []
+        if held and sum(x.num_rows for x in held):
+            yield scored(pa.concat_batches(held))
+
+    return run
+
+
+def _by_seed(tails: DataFrame, number: int, total: int, idf, mean: float, size: int, dtype: str) -> DataFrame:
+    """The tails dealt and sorted so that those of one seed of the whole corpus lie together."""
+    spark = tails.sparkSession
+    tails = tails.withColumn("key", F.xxhash64("doc_id", "start", "tail"))
+    seeds = tails.select("key", "tail").filter(F.pmod("key", F.lit(1 << 20)) <= int(min(1.0, total / (size * number)) * (1 << 20)))
+    seeds = materialize(seeds.dropDuplicates(["key"]), "packing-seeds")
+    count = 1 + seeds.count() // SEED_BLOCK
+    blocks = []
+    for k in range(count):
+        rows = seeds.filter(F.pmod(F.shiftright("key", 20), F.lit(count)) == k).orderBy("key").toArrow()
+        if rows.num_rows:
+            keys = rows["key"].to_numpy().astype(np.int64).tobytes()
+            blocks.append(spark.sparkContext.broadcast((keys, rows["tail"].to_pylist())))
+    found = materialize(tails.mapInArrow(_assigned(blocks, idf, mean, dtype), _ASSIGNED), "packing-assigned")
+    order = [F.col("seed"), F.col("score").desc(), F.col("doc_id"), F.col("start")]
+    dealt = found.repartitionByRange(1 + number // TASK_TAILS, *order)
+    return dealt.sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "tail")
+
+
 def _packed(idf, mean: float, size: int, shard: int, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(idf.value, np.float64)
@@ -213,4 +327,9 @@ def pack(
 
     whole = tokens.filter("sequence_id IS NOT NULL").select(*_COLUMNS)
     tails = tokens.filter("tail IS NOT NULL").select("doc_id", "start", "doc_tokens", "tail")
+    number, total = tokens.filter("tail IS NOT NULL").agg(F.count("*"), F.sum("length")).head()
+    if number > shard:
+        tails = _by_seed(tails, number, total, shared, mean, size, dtype)
+    elif number:
+        tails = tails.repartition(1).sortWithinPartitions("doc_id", "start", "tail")
     return whole.unionByName(tails.mapInArrow(_packed(shared, mean, size, shard, dtype), _PIECE))
