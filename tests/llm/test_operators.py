@@ -370,6 +370,21 @@ def test_related_tails_of_a_whole_corpus_share_windows(spark):
     assert min(shares) > 0.6
 
 
+def test_added_tokens_in_texts_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    end = "<|endoftext|>"
+    texts = [f"one {end} two", end, f"{end}{end}", f"a  b{end}\n\nc", f"\n{end} {end}x", "<|endoftext", "x" * 9, f"{LONG}{end}" * 6]
+    expected = [found.ids for found in plain.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in expected[0]
+    tokens = token_ids.TokenIds(*packing.default_tokenizer())
+    assert [ids.tolist() for ids in tokens.of([text.encode() for text in texts])] == expected
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    checked_pieces(packing.pack(docs).collect(), {k: [*ids, 1] for k, ids in enumerate(expected)})
+
+
 def test_token_ids_equal_the_tokenizer(given, tokenizer):
     odd = ["", "a", "  x", " a", "a ", "a\n\nb", "a\n b", "it's don't", "日本 語", "a\tb c", "q" * 5000, "a  b", LONG]
     texts = [*list(given.values())[:300], *odd]

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from walletlens.llm.token_ids import TokenIds, windows
+from walletlens.llm.token_ids import TokenIds, added_tokens, windows
 from walletlens.llm.words import chunks
 from walletlens.session import materialize
 
@@ -56,11 +56,12 @@ _ASSIGNED = "doc_id long, start long, doc_tokens long, tail binary, key long, se
 _COLUMNS = [part.split()[0] for part in _PIECE.split(", ")]
 
 
-def default_tokenizer() -> tuple[str, str]:
-    """Rank file and pattern of the public byte-level vocabulary of 50,257 ids."""
+def default_tokenizer() -> tuple[str, str, dict[str, int]]:
+    """Rank file, pattern and added tokens of the public byte-level vocabulary of 50,257 ids."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    added = added_tokens(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, added
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -74,7 +75,7 @@ def _pieces(rows: list[tuple], tails: list[bytes | None]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [*_COLUMNS, "tail", "counts"])
 
 
-def _tokenised(tokenizer: tuple[str, str] | None, size: int):
+def _tokenised(tokenizer: tuple | None, size: int):
     """Full windows as pieces, tails with their ids, and per task one row of document counts of each id.
 
     The counts end with the number of documents and of ids.
@@ -83,7 +84,7 @@ def _tokenised(tokenizer: tuple[str, str] | None, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = TokenIds(*(tokenizer or default_tokenizer()))
         end = np.array([END_ID], tokens.dtype)
-        vocabulary = max(tokens.encoding.n_vocab, END_ID + 1) + 1
+        vocabulary = max(tokens.n_ids, END_ID + 1) + 1
         having, documents, total = np.zeros(vocabulary, np.int64), 0, 0
         number = TaskContext.get().partitionId() << 34
         for batch in batches:
@@ -302,13 +303,13 @@ def pack(
     documents: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    tokenizer: tuple[str, str] | None = None,
+    tokenizer: tuple[str, str] | tuple[str, str, dict[str, int]] | None = None,
     size: int = WINDOW,
     shard: int = SHARD_TAILS,
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is a rank file that every executor can read and its pattern.
+    ``tokenizer`` is a rank file that every executor can read, its pattern and, if any, its added tokens.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))

@@ -4,12 +4,14 @@ Most words of a corpus repeat. Texts are cut before each blank and line break, w
 never merges across when what follows is no white space, every cut word is hashed in one pass over
 the bytes, and ids of known words are gathered from a bounded pool. Only unknown words reach the
 tokenizer, all of a chunk in one call. Texts with other or doubled white space, where cutting could
-change ids, go to the tokenizer whole. Words are told apart by 64-bit hashes.
+change ids, go to the tokenizer whole. Words are told apart by 64-bit hashes. Texts that hold an added token
+are split at it, and the parts go to the tokenizer one by one.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from itertools import pairwise
 
@@ -43,7 +45,7 @@ def _powers(factor: int, count: int) -> np.ndarray:
 
 
 def load_encoding(path: str, pattern: str):
-    """The tokenizer of a rank file, with no special tokens."""
+    """The tokenizer of a rank file, without added tokens."""
     import tiktoken
 
     with open(path, "rb") as lines:
@@ -51,12 +53,25 @@ def load_encoding(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which it finds in a text before anything else."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(token["lstrip"] or token["rstrip"] or token["single_word"] for token in found):
+        raise ValueError("added tokens that take white space or whole words are not supported")
+    return {token["content"]: token["id"] for token in found}
+
+
 class TokenIds:
     """Ids of lists of UTF-8 texts, equal to those of the tokenizer for each text alone."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: dict[str, int] | None = None):
         self.encoding = load_encoding(path, pattern)
-        self.dtype = np.uint16 if self.encoding.n_vocab <= 1 << 16 else np.uint32
+        self.added = {token.encode(): number for token, number in (added or {}).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split_added = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")").split
+        self.n_ids = max([self.encoding.n_vocab, *(number + 1 for number in self.added.values())])
+        self.dtype = np.uint16 if self.n_ids <= 1 << 16 else np.uint32
         self.line_break = self.encoding.encode_ordinary("\n")[0]
         spread = np.random.default_rng(7).integers(1, 1 << 63, 256, np.int64)
         self.byte_value = spread.view(np.uint64)
@@ -73,6 +88,15 @@ class TokenIds:
         self.used = 0
 
     def _alone(self, text: bytes) -> np.ndarray:
+        if self._holds_added(text):
+            parts = [part for part in self.split_added(text) if part]
+            return np.concatenate([self._plain(x) if x not in self.added else np.array([self.added[x]], self.dtype) for x in parts])
+        return self._plain(text)
+
+    def _holds_added(self, text: bytes) -> bool:
+        return any(token in text for token in self.added)
+
+    def _plain(self, text: bytes) -> np.ndarray:
         return np.array(self.encoding.encode_ordinary(text.decode("utf-8", "replace")), self.dtype)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -103,6 +127,8 @@ class TokenIds:
         suspects = np.flatnonzero(_SPACE_BYTES[raw])
         for t in np.unique(text_of[np.searchsorted(cuts, suspects, side="right") - 1]):
             odd[t] = odd[t] or _OTHER_SPACE.search(texts[t]) is not None
+        if any(token in data for token in self.added):
+            odd |= [self._holds_added(text) for text in texts]
 
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum(self.byte_value[raw] * self.power[: len(raw)], out=total[1:])
