@@ -254,6 +254,22 @@ def test_fingerprints_on_defects(small, none):
     assert fingerprints.edited_fingerprints(none).count() == 0
 
 
+def test_pages_without_article_keep_heading_lead_and_short_sections():
+    lead = "This lead says in one sentence and a little more what the six paragraphs of the story below will tell its readers."
+    body = [f"Paragraph {k}, which is long, " + "says a good deal more about the matter at hand " * 6 + "and ends." for k in range(6)]
+    inner = "".join(f"<p>{text}</p>" for text in body)
+    links = "".join(f"<li><a href='/{k}'>Story number {k} of this site. Read it.</a></li>" for k in range(5))
+    page = (
+        f"<html><body><ul>{links}</ul><div><h1>T</h1><p>{lead}</p><div>{inner}</div><div><h2>More</h2><p>A short end.</p></div>"
+        f"<h3>Elsewhere</h3><ul>{links}</ul><div>Share this</div><p>\u00a9 2020 Site. All rights reserved.</p></div></body></html>"
+    )
+    assert html_text.main_text(page).split("\n") == ["T", lead, *body, "More", "A short end."]
+    nested = f"<body><h1>T</h1><p>{lead}</p><div><section><div>{inner}</div></section></div></body>"
+    assert html_text.main_text(nested).split("\n") == ["T", lead, *body]
+    loose = f"<body><div>{lead}<div>{inner}</div></div></body>"
+    assert html_text.main_text(loose).split("\n") == [lead, *body]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -3,7 +3,10 @@
 A page is cut into blocks, the runs of text between block-level tags. Each block passes points, one
 plus its commas plus its length, discounted by the share of its letters inside links, to the element
 that holds it and, thinning out, to that element's ancestors. The best container is kept, widened to
-the ``article`` or ``main`` around it, together with siblings that score well themselves. Elements
+the ``article`` or ``main`` around it, together with siblings that score well themselves. Without
+such an element, siblings are also kept for their own text: sentences with few links, lists, tables
+and code without links, and headings above what is kept; where all siblings are kept, the same is
+done one level up. Elements
 that are never article text (navigation, headers, footers, sidebars, notices, adverts, forms,
 scripts, comments), by tag, role or class, are left out before scoring and from the result.
 
@@ -69,6 +72,13 @@ _LAYOUT = frozenset("has have no not is with without".split())
 _SPLIT_NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 _PARAGRAPHS = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre summary td th".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Kept beside the best container if they hold no links.
+_LINKLESS = frozenset("dl ol pre table ul".split())
+_SENTENCE = re.compile(r"""[.!?\u2026\u3002\uff01\uff1f]["'\u201d\u2019)\]]*(?:\s|\Z)""")
+_RIGHTS = re.compile(r"\u00a9|\bcopyright\b|\ball rights reserved\b", re.I)
+#: Longer blocks need no sentence mark and are no mere note of rights.
+_LONG = 80
 _BONUS = {"article": 25.0, "main": 20.0}
 _LEVELS = 5
 
@@ -251,10 +261,58 @@ def main_text(source: str | None) -> str:
             dense = linked[element] / max(1, length[element])
             if dense < 0.3 and score(element) >= max(10.0, 0.2 * score(best)):
                 kept.add(element)
+    loose = 0
+    if best and not around:
+        kept |= _beside(page, best, length, linked)
+        loose = page.parent[best]
     inside = [False] * count
     for element in range(count):
         inside[element] = element in kept or (element > 0 and inside[page.parent[element]])
-    return "\n".join(text for element, text, _ in page.blocks if inside[element])
+    return "\n".join(
+        text
+        for element, text, in_links in page.blocks
+        if inside[element] or (element == loose != 0 and in_links < 0.3 * len(text) and _reads_as_text(text))
+    )
+
+
+def _reads_as_text(text: str) -> bool:
+    return len(text) > _LONG or (_SENTENCE.search(text) is not None and _RIGHTS.search(text) is None)
+
+
+def _beside(page: _Page, best: int, length: list[int], linked: list[int]) -> set[int]:
+    """Elements around ``best`` that are kept for their own text, nearest first."""
+    children: dict[int, list[int]] = {}
+    reads = [False] * len(page.tag)
+    for element, text, in_links in page.blocks:
+        reads[element] = reads[element] or (in_links < 0.3 * len(text) and _reads_as_text(text))
+    for element in range(len(page.tag) - 1, 0, -1):  # children come after their parents
+        reads[page.parent[element]] |= reads[element]
+        if length[element] and not page.out[element]:
+            children.setdefault(page.parent[element], []).append(element)
+
+    kept: set[int] = set()
+    level = best
+    while level and page.tag[level] not in ("html", "body"):
+        above = page.parent[level]
+        follows = False  # whether what comes next, headings aside, is kept
+        whole = True
+        for element in children[above]:  # from the last to the first
+            if element == level:
+                follows = True
+                continue
+            dense = linked[element] / length[element]
+            if page.tag[element] in _HEADINGS:
+                keep = follows and dense < 0.3
+            else:
+                keep = dense < 0.3 and (reads[element] or (page.tag[element] in _LINKLESS and not linked[element]))
+                follows = keep
+            whole = whole and keep
+            if keep:
+                kept.add(element)
+        if not whole:
+            break
+        level = above
+    return kept
 
 
 @F.arrow_udf(StringType())
