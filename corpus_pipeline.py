@@ -13,6 +13,10 @@ from walletlens.llm import decontaminate, jaccard_join, line_dedup, packing, qua
 from walletlens.session import materialize
 from walletlens.sources.tables import table
 
+#: Share of a host's distinct pages above which a line is boilerplate. On sf0.1 the one line repeated by
+#: every host is on 8.7 to 13.2 % of its pages; the next is on 4.6 % at most.
+LINE_RATIO = 0.05
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -21,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their host."""
-    return line_dedup.drop_boilerplate(docs)
+    return line_dedup.drop_boilerplate(docs, ratio=LINE_RATIO)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -489,6 +489,15 @@ def test_line_dedup_on_defects(spark, small, none):
     assert line_dedup.dropped_lines(none).count() == 0
 
 
+def test_pipeline_drops_a_long_passage_of_a_fourteenth_of_a_host(spark):
+    passage = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, f"own {k}" + f"\n{passage}" * (k < 7) + "\nchance" * (7 <= k < 11), "en", "h", 1, 0, 0) for k in range(100)]
+    cut = corpus_pipeline.line_deduplication(spark, spark.createDataFrame(rows, DOCS), "")
+    texts = [row.text for row in cut.collect()]
+    assert not any(passage in text for text in texts)
+    assert sum("chance" in text for text in texts) == 4
+
+
 @pytest.fixture(scope="module")
 def piped(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
