@@ -270,6 +270,16 @@ def test_pages_without_article_keep_heading_lead_and_short_sections():
     assert html_text.main_text(loose).split("\n") == [lead, *body]
 
 
+def test_ids_of_sections_and_headings_inside_articles_are_topics():
+    parts = [f"Text {k} of the article, with a comma, and some more words to it." for k in range(3)]
+    for around in ("article", "main"):
+        page = (
+            f"<{around}><p>{parts[0]}</p><section id='discussion'><h2 id='related-work'>Related work</h2><p>{parts[1]}</p></section>"
+            f"<section id='search-results'><p>{parts[2]}</p></section><section class='comments'><p>Nice one.</p></section></{around}>"
+        )
+        assert html_text.main_text(page).split("\n") == [parts[0], "Related work", *parts[1:]]
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

@@ -145,8 +145,8 @@ class _Page:
         if tag in _EMPTY:
             return
         above = self.stack[-1]
-        inside_article = bool(self.open.get("article"))
-        out, bonus = _judge(tag, attributes, inside_article) if attributes or tag in _SPECIAL else (False, 0.0)
+        inside_article, inside_main = bool(self.open.get("article")), bool(self.open.get("main"))
+        out, bonus = _judge(tag, attributes, inside_article, inside_main) if attributes or tag in _SPECIAL else (False, 0.0)
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(self.out[above] or out)
@@ -167,8 +167,9 @@ class _Page:
 _SPECIAL = _LEFT_OUT | frozenset(_BONUS) | {"header"}
 
 
-def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float]:
+def _judge(tag: str, attributes: str, inside_article: bool, inside_main: bool) -> tuple[bool, float]:
     """Whether an element is left out, and its points before any text."""
+    named = (inside_article or inside_main) and (tag == "section" or tag in _HEADINGS)  # ids of these name topics
     bonus = _BONUS.get(tag, 0.0)
     if tag in ("html", "body", "article", "main"):
         return False, bonus
@@ -188,7 +189,8 @@ def _judge(tag: str, attributes: str, inside_article: bool) -> tuple[bool, float
                 if not words or _LAYOUT.intersection(words):
                     continue
                 header = words[-1] == "header" and inside_article
-                if (words[0] in _WORDS or words[-1] in _WORDS) and not header:
+                topic = name == "id" and named
+                if (words[0] in _WORDS or words[-1] in _WORDS) and not header and not topic:
                     return True, bonus
                 if _GOOD_WORDS.intersection(words):
                     bonus = max(bonus, 10.0)
