@@ -248,12 +248,12 @@ def _by_seed(tails: DataFrame, number: int, total: int, idf, mean: float, size:
     spark = tails.sparkSession
     tails = tails.withColumn("key", F.xxhash64("doc_id", "start", "tail"))
     seeds = tails.select("key", "tail").filter(F.pmod("key", F.lit(1 << 20)) <= int(min(1.0, total / (size * number)) * (1 << 20)))
-    seeds = materialize(seeds.dropDuplicates(["key"]), "packing-seeds")
-    count = 1 + seeds.count() // SEED_BLOCK
+    count = 1 + total // (size * SEED_BLOCK)
     blocks = []
     for k in range(count):
-        rows = seeds.filter(F.pmod(F.shiftright("key", 20), F.lit(count)) == k).orderBy("key").toArrow()
+        rows = seeds.filter(F.pmod(F.shiftright("key", 20), F.lit(count)) == k).dropDuplicates(["key"]).toArrow()
         if rows.num_rows:
+            rows = rows.sort_by("key")
             keys = rows["key"].to_numpy().astype(np.int64).tobytes()
             blocks.append(spark.sparkContext.broadcast((keys, rows["tail"].to_pylist())))
     found = materialize(tails.mapInArrow(_assigned(blocks, idf, mean, dtype), _ASSIGNED), "packing-assigned")
