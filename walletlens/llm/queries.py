@@ -11,10 +11,12 @@ from walletlens.llm import (
     jaccard_join,
     language,
     line_dedup,
+    mixing,
     packing,
     quality,
     secret_scan,
     tool_calls,
+    whitening,
 )
 from walletlens.sources.tables import table
 
@@ -137,6 +139,15 @@ SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(kep
 FROM cut
 """
 
+
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 ALL = {
     "op1_quality_classifier": (op1_quality_classifier, None),
     "op2_ngram_jaccard_join": (op2_ngram_jaccard_join, OP2_SQL),
@@ -148,6 +159,8 @@ ALL = {
     "op8_chat_formatting": (op8_chat_formatting, OP8_SQL),
     "op9_language_id": (op9_language_id, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
+    "op11_source_mixing": (op11_source_mixing, None),
+    "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
 
 
