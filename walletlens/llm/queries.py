@@ -13,6 +13,7 @@ from walletlens.llm import (
     line_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality,
     secret_scan,
     tool_calls,
@@ -144,6 +145,50 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(c) + 1), lambda k: ascii(c[k])::BIGINT)),
+  lambda s, byte: list_reduce(list_prepend(xor(s, byte), range(8)),
+    lambda r, step: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END))"""
+_DIGEST = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+OP12_SQL = f"""
+WITH own AS (
+  SELECT conv_id, list({{'id': {_DIGEST}, 'w': {_WORDS}}} ORDER BY turn NULLS FIRST, {_DIGEST}) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), headed AS (
+  SELECT conv_id, turns, CAST(xor({_CRC32}, 4294967295::BIGINT) % 4 AS BIGINT) AS h
+  FROM (SELECT *, CAST(conv_id AS VARCHAR) AS c FROM own)
+), rebuilt AS (
+  SELECT x.conv_id, list_concat(coalesce(b.turns[1:x.h], []), x.turns[x.h + 1:]) AS turns
+  FROM headed x LEFT JOIN own b ON b.conv_id = x.conv_id - x.conv_id % 20
+), paths AS (
+  SELECT conv_id, d, len(turns) AS length, turns[d].w AS w, array_to_string(list_transform(turns[1:d], lambda t: t.id), '') AS node,
+    array_to_string(list_transform(turns[1:d - 1], lambda t: t.id), '') AS parent
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, max(coalesce(w, 0)) AS w,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (length = d), '')) AS ends_sha256
+  FROM paths GROUP BY d, node
+), figures AS (
+  SELECT n.*, p.conv_id AS parent_conv_id,
+    (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.parent = n.node) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.node = n.parent
+), above AS (
+  SELECT DISTINCT a.d AS d, a.node AS node, b.d AS below_d, b.node AS below
+  FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.d >= a.d
+), subtree AS (
+  SELECT a.d, a.node, sum((f.n_children = 0)::INT) AS n_leaves, sum((f.n_convs - 1) * f.w) AS saved_tokens
+  FROM above a JOIN figures f ON f.d = a.below_d AND f.node = a.below GROUP BY a.d, a.node
+)
+SELECT f.conv_id, f.d AS depth, f.parent_conv_id, f.n_convs, f.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM figures f JOIN subtree s ON s.d = f.d AND s.node = f.node
+"""
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -160,6 +205,7 @@ ALL = {
     "op9_language_id": (op9_language_id, None),
     "op10_line_dedup": (op10_line_dedup, OP10_SQL),
     "op11_source_mixing": (op11_source_mixing, None),
+    "op12_conversation_trie": (op12_conversation_trie, OP12_SQL),
     "op13_embedding_whitening": (op13_embedding_whitening, None),
 }
 
