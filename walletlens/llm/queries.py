@@ -153,7 +153,7 @@ _CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1,
   lambda s, byte: list_reduce(list_prepend(xor(s, byte), range(8)),
     lambda r, step: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END))"""
 _DIGEST = "md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))"
-_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
+_WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 OP12_SQL = f"""
 WITH own AS (
   SELECT conv_id, list({{'id': {_DIGEST}, 'w': {_WORDS}}} ORDER BY turn NULLS FIRST, {_DIGEST}) AS turns
