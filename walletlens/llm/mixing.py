@@ -52,6 +52,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _exact(parts: Column) -> Column:
+    """A sum that does not depend on the order of the rows, so that reruns take the same steps."""
+    return F.sum(parts.cast("decimal(28,8)")).cast("double")
+
+
 def water_filled(sources: DataFrame, most: float = MOST) -> DataFrame:
     """(source, weight, words) with ``target``: the level at which min(most * words, level * weight) add up to all words.
 
@@ -82,7 +87,7 @@ def tilts(groups: DataFrame, sources: DataFrame, most: float = MOST) -> DataFram
     log_most = F.log(F.lit(float(most)))
     shape = groups.groupBy("source").agg(
         F.min("size").cast("double").alias("smallest"),
-        (F.sum(F.col("size").cast("double") ** 2 * F.col("rows")) / F.sum(F.col("size") * F.col("rows"))).alias("scale"),
+        (_exact(F.col("size").cast("double") ** 2 * F.col("rows")) / F.sum(F.col("size") * F.col("rows"))).alias("scale"),
     )
     # In units of 1 / scale. All rates at the cap, or all at target / words, end the bracket.
     ratio = F.log(F.col("target") / F.col("words"))
@@ -102,7 +107,7 @@ def tilts(groups: DataFrame, sources: DataFrame, most: float = MOST) -> DataFram
         power = F.col("tilt") * x
         mass = F.col("size").cast("double") * F.col("rows") * F.when(power < log_most, F.exp(power)).otherwise(float(most))
         slope = F.when(power < log_most, mass * x).otherwise(0.0)
-        sums = joined.groupBy("source").agg(F.sum(mass).alias("mass"), F.sum(slope).alias("slope"))
+        sums = joined.groupBy("source").agg(_exact(mass).alias("mass"), _exact(slope).alias("slope"))
         step = state.join(sums, "source", "left")
         over = F.col("mass") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("tilt")), F.when(over, F.col("tilt")).otherwise(F.col("high"))
