@@ -12,6 +12,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from walletlens.llm import mixing, prefix_trie, whitening
 from walletlens.llm.row_numbers import numbered
@@ -109,7 +110,7 @@ def test_buckets_give_a_group_its_copies_exactly(spark, monkeypatch):
 
 def test_numbers_follow_the_order(spark):
     rows = spark.range(0, 1000, numPartitions=7).selectExpr("id", "id % 13 AS k")
-    found = numbered(rows, [rows["k"], rows["id"]], "at").orderBy("at").collect()
+    found = numbered(rows, [F.col("k"), F.col("id")], "at").orderBy("at").collect()
     assert [r.at for r in found] == list(range(1000))
     assert [(r.k, r.id) for r in found] == sorted((r.k, r.id) for r in found)
 
