@@ -1,23 +1,24 @@
 """Lexical retrieval packing: documents with related words share training windows.
 
-Each document's ids (with an end id) are cut into full windows of their own and a tail. Tails are
-packed in two steps. First, about one tail for each window to be filled is drawn as a seed, by a hash
-of its content, and every other tail is scored by BM25 against every seed of the corpus and goes to
-the best one (ties: the seed with the smaller hash). Scores are sums of whole numbers, so they depend on
-no order. Then tails are dealt in ranges of (seed, score), so related tails are neighbours wherever
-they were stored and the tails of a common seed spread over tasks. Of a run of ``SHARD_TAILS``, a BM25
-index gives a window's seed its best unused neighbours, which fill the window in turn; the neighbour
-that does not fit is cut, and what is left of it seeds the next window. Without a neighbour left, the
-next unused tail follows. A corpus of one run needs no seeds.
+Each document's ids (with an end id) are cut into full windows of their own and a tail. The tails are
+indexed in shards of related content, and every shard is packed by itself from its own BM25 index: its
+next unused tail seeds a window, its best unused neighbours fill the window in turn, the neighbour
+that does not fit is cut, and what is left of it seeds the next window.
+
+A tail's shard follows from its words alone, at the same cost for every tail. Up to ``GUIDES`` tails of the
+corpus, those with the smallest hashes, are guides; every tail is scored by BM25 against all of them, and its best
+``RANKED`` guides, best first, are its place (ties: the guide with the smaller hash). Tails are dealt
+and sorted in ranges of that place, and each ``SHARD_TAILS`` in a row are a shard. Tails of one guide lie
+together however they were stored; a guide with many tails is cut into shards by the next guides of its tails.
+Scores are sums of whole numbers, so a place depends on no order. The work is proportional to the tails.
 
 Document frequencies and the mean length are counted over all documents before anything is packed.
-Seeds reach the tasks in blocks of about ``SEED_BLOCK``, and every tail meets every block: no candidate is left
-out, and the work grows with tails times seeds. Index and scores are bounded, and only the last window
-of a run is not full.
+The guides are a bounded sample that only steers where a tail goes; every tail is indexed and packed.
+Index and scores are bounded, and only the last window of a shard's run is not full.
 
 Null or empty text: the end id alone. Repeated or null ids: each row is packed by itself. Equal
-scores in a run: the earlier tail. Very long texts: many full windows. Empty table: no rows. Other columns
-are not read.
+scores in a shard: the earlier tail. Very long texts: many full windows. Empty table: no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,21 +39,23 @@ from walletlens.session import materialize
 WINDOW = 2048
 END_ID = 1
 #: Tails in one shard of the index.
-SHARD_TAILS = 512
-#: Seeds and tails scored at a time, and the commonest terms, which are scored as a dense matrix.
-SEED_BLOCK = 1 << 14
+SHARD_TAILS = 2048
+#: Most tails whose scores tell a tail's place, the tails to each of them at least, and how many make a place.
+GUIDES, PER_GUIDE, RANKED = 1024, 32, 3
+#: Tails scored at a time, and the commonest terms, which are scored as a dense matrix.
 TAIL_BLOCK, STEP = 1 << 12, 1 << 8
 DENSE_TERMS = 1 << 10
 #: Steps of one for a term's weight. Sums below 2^24 are exact in single precision.
 STEPS = 128
 #: Tails a task packs, about.
-TASK_TAILS = 1 << 12
+TASK_TAILS = 1 << 13
 #: BM25: saturation of repeats, and share of the length correction.
 K1, B = 1.2, 0.75
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _TOKENS = f"{_PIECE}, tail binary, counts array<long>"
-_ASSIGNED = "doc_id long, start long, doc_tokens long, tail binary, key long, seed long, score double"
+_TAIL = "doc_id long, start long, doc_tokens long, tail binary"
+_PLACED = f"{_TAIL}, place array<int>, score double"
 _COLUMNS = [part.split()[0] for part in _PIECE.split(", ")]
 
 
@@ -167,13 +170,17 @@ def retrieval_order(tails: list[np.ndarray], idf: np.ndarray, mean: float, size:
     return order
 
 
-class SeedIndex:
-    """BM25 scores of the seeds of one block, for the terms of tails."""
+class GuideIndex:
+    """BM25 scores of the guides for the terms of tails."""
 
-    def __init__(self, seeds: list[np.ndarray], idf: np.ndarray, mean: float, column: np.ndarray):
-        owner, term, weight = _weighed(seeds, idf, mean)
+    def __init__(self, guides: list[np.ndarray], idf: np.ndarray, mean: float):
+        common = np.flatnonzero(idf > 0)
+        common = common[np.argsort(idf[common], kind="stable")[:DENSE_TERMS]]
+        column = np.full(len(idf), -1)
+        column[common] = np.arange(len(common))
+        owner, term, weight = _weighed(guides, idf, mean)
         weight = np.rint(weight * STEPS).astype(np.float32)
-        self.column, self.count = column, len(seeds)
+        self.column, self.count = column, len(guides)
         dense = column[term] >= 0
         self.dense = np.zeros((int(column.max(initial=-1)) + 1, self.count), np.float32)
         self.dense[column[term[dense]], owner[dense]] = weight[dense]
@@ -184,7 +191,7 @@ class SeedIndex:
         self.stop = self.size.cumsum()
 
     def scores(self, terms: list[np.ndarray]) -> np.ndarray:
-        """A row per list of distinct terms, a column per seed, in steps."""
+        """A row per list of distinct terms, a column per guide, in steps."""
         row = np.repeat(np.arange(len(terms)), [len(x) for x in terms])
         term = np.concatenate(terms).astype(np.int64)
         dense = self.column[term] >= 0
@@ -199,66 +206,46 @@ class SeedIndex:
         return out
 
 
-def _assigned(blocks: list, idf, mean: float, dtype: str):
-    """Every tail with the best of all seeds and its score; a seed is its own."""
+def _placed(guides, idf, mean: float, dtype: str):
+    """Every tail with its best guides, best first, and the score of the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(idf.value, np.float64)
-        common = np.flatnonzero(weights > 0)
-        common = common[np.argsort(weights[common], kind="stable")[:DENSE_TERMS]]
-        column = np.full(len(weights), -1)
-        column[common] = np.arange(len(common))
+        index = GuideIndex([np.frombuffer(x, dtype) for x in guides.value], weights, mean)
+        ranked = min(RANKED, index.count)
 
         def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
             terms = [np.unique(np.frombuffer(x, dtype)) for x in batch.column("tail").to_pylist()]
-            own = batch.column("key").to_numpy()
-            best, score = np.zeros(len(terms), np.int64), np.full(len(terms), -1.0)
-            for block in blocks:
-                keys, seeds = block.value
-                keys = np.frombuffer(keys, np.int64)
-                index = SeedIndex([np.frombuffer(x, dtype) for x in seeds], weights, mean, column)
-                for a in range(0, len(terms), STEP):
-                    found = index.scores(terms[a : a + STEP])
-                    first = found.argmax(axis=1)
-                    top, seed = found[np.arange(len(first)), first], keys[first]
-                    part = slice(a, a + STEP)
-                    better = (top > score[part]) | ((top == score[part]) & (seed < best[part]))
-                    best[part] = np.where(better, seed, best[part])
-                    score[part] = np.where(better, top, score[part])
-                seeded = np.isin(own, keys)
-                best[seeded], score[seeded] = own[seeded], np.inf
-            arrays = [*batch.columns, pa.array(best), pa.array(score)]
-            return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "seed", "score"])
-
-        held: list[pa.RecordBatch] = []
+            places, scores = [], []
+            for a in range(0, len(terms), STEP):
+                found = index.scores(terms[a : a + STEP])
+                at = np.arange(len(found))
+                scores.append(found.max(axis=1))
+                best = np.empty((len(found), ranked), np.int32)
+                for k in range(ranked):
+                    best[:, k] = found.argmax(axis=1)
+                    found[at, best[:, k]] = -1
+                places.append(best)
+            place = np.concatenate(places)
+            lists = pa.ListArray.from_arrays(np.arange(0, place.size + 1, ranked, dtype=np.int32), pa.array(place.ravel()))
+            arrays = [*batch.columns, lists, pa.array(np.concatenate(scores).astype(np.float64))]
+            return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "place", "score"])
+
         for batch in batches:
             for a in range(0, batch.num_rows, TAIL_BLOCK):
-                held.append(batch.slice(a, TAIL_BLOCK))
-                if sum(x.num_rows for x in held) >= TAIL_BLOCK:
-                    yield scored(pa.concat_batches(held))
-                    held = []
-        if held and sum(x.num_rows for x in held):
-            yield scored(pa.concat_batches(held))
+                yield scored(batch.slice(a, TAIL_BLOCK))
 
     return run
 
 
-def _by_seed(tails: DataFrame, number: int, total: int, idf, mean: float, size: int, dtype: str) -> DataFrame:
-    """The tails dealt and sorted so that those of one seed of the whole corpus lie together."""
-    spark = tails.sparkSession
-    tails = tails.withColumn("key", F.xxhash64("doc_id", "start", "tail"))
-    seeds = tails.select("key", "tail").filter(F.pmod("key", F.lit(1 << 20)) <= int(min(1.0, total / (size * number)) * (1 << 20)))
-    count = 1 + total // (size * SEED_BLOCK)
-    blocks = []
-    for k in range(count):
-        rows = seeds.filter(F.pmod(F.shiftright("key", 20), F.lit(count)) == k).dropDuplicates(["key"]).toArrow()
-        if rows.num_rows:
-            rows = rows.sort_by("key")
-            keys = rows["key"].to_numpy().astype(np.int64).tobytes()
-            blocks.append(spark.sparkContext.broadcast((keys, rows["tail"].to_pylist())))
-    found = materialize(tails.mapInArrow(_assigned(blocks, idf, mean, dtype), _ASSIGNED), "packing-assigned")
-    order = [F.col("seed"), F.col("score").desc(), F.col("doc_id"), F.col("start")]
-    dealt = found.repartitionByRange(1 + number // TASK_TAILS, *order)
+def _by_place(tails: DataFrame, number: int, idf, mean: float, dtype: str) -> DataFrame:
+    """The tails dealt and sorted so that those of related words lie together."""
+    key = F.xxhash64("tail")
+    chosen = tails.groupBy(key.alias("key")).agg(F.min("tail").alias("tail")).orderBy("key").limit(min(GUIDES, 1 + number // PER_GUIDE))
+    guides = tails.sparkSession.sparkContext.broadcast([row.tail for row in chosen.collect()])
+    order = [F.col("place"), F.col("score").desc(), F.col("doc_id"), F.col("start")]
+    placed = tails.mapInArrow(_placed(guides, idf, mean, dtype), _PLACED)
+    dealt = placed.repartitionByRange(1 + number // TASK_TAILS, *order)
     return dealt.sortWithinPartitions(*order).select("doc_id", "start", "doc_tokens", "tail")
 
 
@@ -328,9 +315,6 @@ def pack(
 
     whole = tokens.filter("sequence_id IS NOT NULL").select(*_COLUMNS)
     tails = tokens.filter("tail IS NOT NULL").select("doc_id", "start", "doc_tokens", "tail")
-    number, total = tokens.filter("tail IS NOT NULL").agg(F.count("*"), F.sum("length")).head()
-    if number > shard:
-        tails = _by_seed(tails, number, total, shared, mean, size, dtype)
-    elif number:
-        tails = tails.repartition(1).sortWithinPartitions("doc_id", "start", "tail")
+    number = tails.count()
+    tails = _by_place(tails, number, shared, mean, dtype)
     return whole.unionByName(tails.mapInArrow(_packed(shared, mean, size, shard, dtype), _PIECE))
