@@ -210,6 +210,8 @@ def _placed(guides, idf, mean: float, dtype: str):
     """Every tail with its best guides, best first, and the score of the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not guides.value:  # there is no tail
+            return
         weights = np.frombuffer(idf.value, np.float64)
         index = GuideIndex([np.frombuffer(x, dtype) for x in guides.value], weights, mean)
         ranked = min(RANKED, index.count)
