@@ -13,13 +13,16 @@ Null identifiers link with nothing and are left out. Repeated calls of one ident
 turn, then content, counts; ``n_calls`` and ``n_results`` tell how many there were. A result without a
 call has status ``orphan_result``, a call without a result ``unanswered``. References to unknown calls
 are none. Calls on or behind a cycle of references have no depth and status ``cycle``. Null or
-malformed arguments, missing, unknown or wrongly typed ones: ``valid`` is false, ``problem`` says why,
-and the arguments stand in the JSON as null. Empty table: no rows. Other columns are not read.
+malformed arguments (numbers beyond a double and half surrogate pairs too), keys that stand twice in an
+object, missing, unknown or wrongly typed arguments: ``valid`` is false, ``problem`` says why, and the
+arguments stand in the JSON as null. Very long texts: one row is in memory at a time with its batch.
+Empty table: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,13 +63,33 @@ def _refuse(constant: str):
     raise ValueError(constant)
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    return value if math.isfinite(value) else _refuse(text)
+
+
+class _Repeated(ValueError):
+    """A key stands twice in an object."""
+
+
+def _object(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    if len({key for key, _ in pairs}) < len(pairs):
+        raise _Repeated
+    return dict(pairs)
+
+
 def _parsed(text: str | None) -> tuple[object, str | None]:
+    """The value of a JSON text that can be written again, or what is wrong with it."""
     if text is None:
         return None, "no arguments"
     try:
-        return json.loads(text, parse_constant=_refuse), None
+        value = json.loads(text, parse_constant=_refuse, parse_float=_finite, object_pairs_hook=_object)
+        canonical(value).encode()  # fails for half of a surrogate pair, which no UTF-8 text can hold
+    except _Repeated:
+        return None, "repeated key"
     except (ValueError, RecursionError):
         return None, "malformed"
+    return value, None
 
 
 def canonical(value: object) -> str:
