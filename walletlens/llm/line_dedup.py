@@ -12,7 +12,8 @@ is written, so that Spark broadcasts it while its size allows and joins (splitti
 
 Null text: stays null, no lines. Empty and blank lines: kept, never counted. Null host: one host of
 its own. Repeated rows: equal pages. A line is compared without the white space around it; a line
-equal to the ratio stays. Empty table: no rows. Other columns pass through ``drop_boilerplate``.
+equal to the ratio stays. Very long texts: lines travel as hashes, and a text is cut whole in its row.
+Empty table: no rows. Other columns pass through ``drop_boilerplate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from walletlens.llm.columns import unused
 from walletlens.session import materialize
 
 #: A line in more than this share of a host's distinct pages is boilerplate.
@@ -64,21 +66,26 @@ def boilerplate_lines(
     return counted.join(totals, "host").filter(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
 
 
-def _cut(documents: DataFrame, host_column: str, text_column: str, ratio: float, min_pages: int) -> DataFrame:
-    """The documents with columns __text (after the cut), __lines and __dropped (counts)."""
+def _cut(
+    documents: DataFrame, host_column: str, text_column: str, ratio: float, min_pages: int
+) -> tuple[DataFrame, str, str, str]:
+    """The documents with three more columns, and their names: text after the cut, numbers of lines and of dropped ones."""
     found = boilerplate_lines(documents, host_column, text_column, ratio, min_pages)
-    sites = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__drop"))
+    names = unused(documents.columns, "host", "drop", "site", "kept", "cut", "lines", "dropped")
+    host, drop, site, kept, cut, n_lines, n_dropped = names
+    sites = found.groupBy(F.col("host").alias(host)).agg(F.collect_list("line").alias(drop))
     sites = materialize(sites, "host-boilerplate")
-    joined = documents.withColumn("__site", _host(host_column)).join(sites, F.col("__site") == F.col("__host"), "left")
+    joined = documents.withColumn(site, _host(host_column)).join(sites, F.col(site) == F.col(host), "left")
     lines = F.split(F.col(text_column), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), F.xxhash64(_line(x))) | (_line(x) == ""))
-    joined = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept).otherwise(lines))
-    return joined.select(
+    left = F.filter(lines, lambda x: ~F.array_contains(F.col(drop), F.xxhash64(_line(x))) | (_line(x) == ""))
+    joined = joined.withColumn(kept, F.when(F.col(drop).isNotNull(), left).otherwise(lines))
+    joined = joined.select(
         *documents.columns,
-        F.array_join("__kept", "\n").alias("__text"),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("__lines"),
-        F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("__dropped"),
+        F.array_join(kept, "\n").alias(cut),
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(n_lines),
+        F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long").alias(n_dropped),
     )
+    return joined, cut, n_lines, n_dropped
 
 
 def dropped_lines(
@@ -91,12 +98,12 @@ def dropped_lines(
 ) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, text without the host's boilerplate."""
     slim = documents.select(id_column, host_column, text_column)
-    cut = _cut(slim, host_column, text_column, ratio, min_pages)
-    return cut.select(
+    found, cut, n_lines, n_dropped = _cut(slim, host_column, text_column, ratio, min_pages)
+    return found.select(
         F.col(id_column).alias("doc_id"),
-        F.when(F.col(text_column).isNull(), 0).otherwise(F.col("__lines")).cast("long").alias("n_lines"),
-        F.when(F.col(text_column).isNull(), 0).otherwise(F.col("__dropped")).cast("long").alias("n_dropped"),
-        F.col("__text").alias("text"),
+        F.when(F.col(text_column).isNull(), 0).otherwise(F.col(n_lines)).cast("long").alias("n_lines"),
+        F.when(F.col(text_column).isNull(), 0).otherwise(F.col(n_dropped)).cast("long").alias("n_dropped"),
+        F.col(cut).alias("text"),
     )
 
 
@@ -108,8 +115,8 @@ def drop_boilerplate(
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
     """The documents with their text cut, and n_chars, if there, counted anew; other columns unchanged."""
-    cut = _cut(documents, host_column, text_column, ratio, min_pages)
-    out = cut.withColumn(text_column, F.col("__text"))
+    found, cut, _, _ = _cut(documents, host_column, text_column, ratio, min_pages)
+    out = found.withColumn(text_column, F.col(cut))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length(text_column).cast(documents.schema["n_chars"].dataType))
     return out.select(*documents.columns)
