@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from walletlens.llm.words import CACHE_WORDS, chunks
+from walletlens.llm.columns import unused
 from walletlens.session import materialize
 
 #: Most labelled documents a fit reads, those with the smallest hashes of their ids.
@@ -223,38 +224,50 @@ def _logit(rate: Column) -> Column:
 
 
 def with_posterior(
-    documents: DataFrame, evidence: Evidence, host: Column, path: Column, text_column: str = "text"
-) -> DataFrame:
-    """The documents with __evidence (log odds), __site_rate and __quality (posterior probability)."""
-    scored = documents.withColumns({"__host": _key(host), "__path": _key(path)})
-    scored = scored.withColumn("__evidence", evidence.log_odds(text_column))
-    probability = 1 / (1 + F.exp(-F.col("__evidence")))
-    sums = scored.groupBy(F.col("__host").alias("host"), F.col("__path").alias("path"))
+    documents: DataFrame,
+    evidence: Evidence,
+    host: Column,
+    path: Column,
+    text_column: str = "text",
+    keep: list[str] | None = None,
+) -> tuple[DataFrame, str, str, str]:
+    """The documents' columns (those of ``keep``) with three more, and their names.
+
+    These are the evidence (log odds), the rate of the site and the quality (posterior probability).
+    Texts are scored once: the scored rows are written, with the text only where it is kept.
+    """
+    keep = documents.columns if keep is None else keep
+    names = unused(documents.columns, "host_key", "path_key", "evidence", "site_rate", "quality")
+    host_key, path_key, log_odds, site_rate, quality = names
+    scored = documents.select(
+        *keep, _key(host).alias(host_key), _key(path).alias(path_key), evidence.log_odds(text_column).alias(log_odds)
+    )
+    scored = materialize(scored, "quality-scored")
+    probability = 1 / (1 + F.exp(-F.col(log_odds)))
+    sums = scored.groupBy(F.col(host_key).alias("host"), F.col(path_key).alias("path"))
     sums = materialize(sums.agg(F.count("*").alias("n"), F.sum(probability).alias("good")), "quality-sites")
     sites = materialize(site_rates(sums), "quality-rates")
-    joined = scored.join(sites, (F.col("__host") == sites["host"]) & (F.col("__path") == sites["path"]))
+    joined = scored.join(sites, (F.col(host_key) == sites["host"]) & (F.col(path_key) == sites["path"]))
     others = sites["good"] - probability + sites["strength"] * sites["host_rate"]
     rate = others / (sites["n"] - 1 + sites["strength"])
-    odds = F.col("__evidence") + _logit(rate) - _logit(sites["global_rate"])
-    return joined.select(
-        *(documents[c] for c in documents.columns),
-        "__evidence",
-        rate.alias("__site_rate"),
-        (1 / (1 + F.exp(-odds))).alias("__quality"),
+    odds = F.col(log_odds) + _logit(rate) - _logit(sites["global_rate"])
+    found = joined.select(
+        *(scored[c] for c in keep), log_odds, rate.alias(site_rate), (1 / (1 + F.exp(-odds))).alias(quality)
     )
+    return found, log_odds, site_rate, quality
 
 
 def judged(documents: DataFrame, labels: DataFrame, host_column: str = "source", path_column: str = "lang") -> DataFrame:
     """Per document: doc_id, evidence, site_rate, quality (posterior probability of being good), kept."""
     evidence = fit_evidence(documents, labels)
-    slim = documents.select("doc_id", host_column, path_column, "text")
-    found = with_posterior(slim, evidence, F.col(host_column), F.col(path_column))
+    host, path = F.col(host_column), F.col(path_column)
+    found, log_odds, rate, quality = with_posterior(documents, evidence, host, path, keep=["doc_id"])
     return found.select(
         "doc_id",
-        F.col("__evidence").alias("evidence"),
-        F.col("__site_rate").alias("site_rate"),
-        F.col("__quality").alias("quality"),
-        (F.col("__quality") >= 0.5).alias("kept"),
+        F.col(log_odds).alias("evidence"),
+        F.col(rate).alias("site_rate"),
+        F.col(quality).alias("quality"),
+        (F.col(quality) >= 0.5).alias("kept"),
     )
 
 
@@ -263,5 +276,5 @@ def drop_rejected(
 ) -> DataFrame:
     """The documents at even odds or better; columns unchanged."""
     evidence = fit_evidence(documents, labels)
-    found = with_posterior(documents, evidence, F.col(host_column), F.col(path_column))
-    return found.filter("__quality >= 0.5").select(*documents.columns)
+    found, _, _, quality = with_posterior(documents, evidence, F.col(host_column), F.col(path_column))
+    return found.filter(F.col(quality) >= 0.5).select(*documents.columns)
