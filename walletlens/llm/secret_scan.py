@@ -6,7 +6,9 @@ A scan looks only at pairs of blob and rule version that the ledger does not hav
 however many paths hold it, appends them, and joins findings back to all paths.
 
 Positions come from SQL functions: splitting a text at a rule's matches and extracting the same
-matches gives alternating lengths, whose running sum is each match's place in code points.
+matches gives alternating lengths, whose running sum is each match's place in code points. Running
+sums are made in blocks of the square root of their number, so a text with very many matches takes
+little more than in proportion to them.
 
 DataFrame functions only. Blobs are made distinct before the scan, with equal texts of a task
 combined before the shuffle. A blob held by a third of all paths is joined as a skewed key.
@@ -43,8 +45,6 @@ MORE_RULES = (
     ("login", r"([a-z][a-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@)", 1, 1),
 )
 RULES = BASE_RULES + MORE_RULES
-#: Names the rules above; any change of them gives another version.
-RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
 
 _FINDING = "struct<start:int,rank:int,kind:string,stop:int>"
 _LEDGER = f"blob_id string, rule_version string, findings array<{_FINDING}>"
@@ -55,27 +55,50 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _total(lengths: Column, count: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), count), F.lit(0), lambda total, x: total + x)
+def _total(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda total, x: total + x)
+
+
+def _sums_before(lengths: Column) -> Column:
+    """For each place of a list that is not empty, the sum of what stands before it."""
+
+    def in_blocks(lengths: Column, width: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / width).cast("int"))
+        totals = F.transform(blocks, lambda k: _total(F.slice(lengths, k * width + 1, width)))
+
+        def placed(totals: Column) -> Column:
+            def within(k: Column, before: Column) -> Column:
+                block = F.slice(lengths, k * width + 1, width)
+                return F.transform(block, lambda _, i: before + _total(F.slice(block, F.lit(1), i)))
+
+            starts = F.transform(blocks, lambda k: _total(F.slice(totals, F.lit(1), k)))
+            return F.flatten(F.zip_with(blocks, starts, within))
+
+        return _once(totals, placed)
+
+    width = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+    return _once(F.struct(lengths.alias("lengths"), width.alias("width")), lambda x: in_blocks(x["lengths"], x["width"]))
 
 
 def _matches(text: Column, rank: int, kind: str, pattern: str, fewest: int, group: int) -> Column:
     """Findings of one rule: leftmost matches without overlap, those too short dropped afterwards."""
 
     def place(gaps: Column, whole: Column, counted: Column) -> Column:
-        def finding(i: Column) -> Column:
-            start = _total(gaps, i) + _total(whole, i - 1)
+        # The last part of the split follows the last match.
+        gaps = F.slice(gaps, F.lit(1), F.size(whole))
+        before = _sums_before(F.zip_with(gaps, whole, lambda gap, length: gap + length))
+        parts = F.arrays_zip(before.alias("before"), gaps.alias("gap"), whole.alias("whole"), counted.alias("counted"))
+
+        def finding(part: Column) -> Column:
+            start = part["before"] + part["gap"]
             return F.struct(
                 start.alias("start"),
                 F.lit(rank).alias("rank"),
                 F.lit(kind).alias("kind"),
-                (start + F.element_at(whole, i)).alias("stop"),
+                (start + part["whole"]).alias("stop"),
             )
 
-        long_enough = F.filter(
-            F.sequence(F.lit(1), F.size(whole)), lambda i: F.element_at(counted, i) >= F.lit(fewest)
-        )
-        return F.transform(long_enough, finding)
+        return F.transform(F.filter(parts, lambda part: part["counted"] >= F.lit(fewest)), finding)
 
     lengths = F.array(
         F.transform(F.split(text, pattern, -1), F.char_length),
@@ -86,6 +109,11 @@ def _matches(text: Column, rank: int, kind: str, pattern: str, fewest: int, grou
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<{_FINDING}>"))
 
 
+def rule_version(rules=RULES) -> str:
+    """Names the rules; any change of them gives another version."""
+    return hashlib.sha256(repr(tuple(rules)).encode()).hexdigest()[:16]
+
+
 def findings(text: Column, rules=RULES) -> Column:
     """All findings of a text, by start, then by rule."""
     each = [_matches(text, rank, *rule) for rank, rule in enumerate(rules)]
@@ -101,12 +129,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_LEDGER).parquet(path)
 
 
-def scan(paths: DataFrame, ledger: str, text_column: str = "text", rules=RULES, version: str = RULE_VERSION) -> None:
-    """Scan the blobs of ``paths`` that the ledger has not seen under ``version``, and append them to it.
+def scan(paths: DataFrame, ledger: str, text_column: str = "text", rules=RULES) -> None:
+    """Scan the blobs of ``paths`` that the ledger has not seen under these rules, and append them to it.
 
     A scan that is run again after a failure adds only what is missing.
     """
-    spark = paths.sparkSession
+    spark, version = paths.sparkSession, rule_version(rules)
     blobs = paths.select(F.coalesce(F.col(text_column), F.lit("")).alias("blob"))
     blobs = blobs.withColumn("blob_id", F.sha2("blob", 256)).dropDuplicates(["blob_id"])
     known = read_ledger(spark, ledger).filter(F.col("rule_version") == version).select("blob_id")
@@ -120,11 +148,11 @@ def found_in(
     ledger: str,
     id_column: str = "doc_id",
     text_column: str = "text",
-    version: str = RULE_VERSION,
+    rules=RULES,
 ) -> DataFrame:
-    """(id, findings) for every row of ``paths``; findings is null where the blob has not been scanned."""
+    """(id, findings) for every row of ``paths``; findings is null where the blob has not been scanned by these rules."""
     named = paths.select(F.col(id_column), F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256).alias("__blob"))
-    seen = read_ledger(paths.sparkSession, ledger).filter(F.col("rule_version") == version)
+    seen = read_ledger(paths.sparkSession, ledger).filter(F.col("rule_version") == rule_version(rules))
     # Two scans at the same time may both have added a blob.
     seen = seen.select(F.col("blob_id").alias("__blob"), "findings").dropDuplicates(["__blob"])
     return named.join(seen, "__blob", "left").select(id_column, "findings")
