@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from walletlens.llm.columns import unused
 from walletlens.llm.components import connected_components
 from walletlens.llm.words import WordHashes, chunks, shingle_runs, word_and_shingle_runs
 from walletlens.session import materialize
@@ -355,9 +356,21 @@ def similar_documents(
     )
 
 
-def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id") -> DataFrame:
-    """The documents without those that have a similar one with a smaller id; columns unchanged."""
-    found = similar_documents(documents, id_column=id_column, size=size, percent=percent)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without those that have a similar one with a smaller id; columns unchanged.
+
+    Of rows that share an id (or have none) and their text, any one stays.
+    """
+    found = similar_documents(documents, id_column, text_column, size, percent)
+    name, key, times = unused(documents.columns, "gone", "key", "times")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name))
     gone = small(materialize(gone.distinct(), "jaccard-gone"))
-    return documents.join(gone, documents[id_column] == gone["__gone"], "left_anti")
+    kept = documents.join(gone, F.col(id_column) == F.col(name), "left_anti")
+    again = documents.groupBy(F.col(id_column).alias(key)).agg(F.count("*").alias(times)).filter(F.col(times) > 1)
+    again = materialize(again.select(key), "jaccard-again")
+    if again.isEmpty():
+        return kept
+    of_repeated = F.col(id_column).eqNullSafe(F.col(key))
+    repeated = kept.join(again, of_repeated, "left_semi").withColumn(key, F.sha2(text_column, 256))
+    repeated = repeated.dropDuplicates([id_column, key]).select(*documents.columns)
+    return kept.join(again, of_repeated, "left_anti").unionByName(repeated)
