@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from walletlens.functions.dates import check_month, month_limits, ntz
 from walletlens.functions.numbers import MAX_AMOUNT, parse_amount
 from walletlens.functions.text import combine_tags
-from walletlens.schema import CASH_IN, RAW_COLUMNS, SPEND, TRANSACTION_SCHEMA
+from walletlens.schema import CASH_IN, PROCESSED_COLUMNS, RAW_COLUMNS, SPEND, TRANSACTION_SCHEMA
 
 TAG_COLUMNS = ["segment_tag1", "segment_tag2", "segment_tag3"]
 
@@ -47,8 +47,10 @@ def process_raw(raw: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> Data
     )
 
 
-def coerce_transactions(processed: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> DataFrame:
-    """Typed transaction columns plus ``reason``, null for a valid row.
+def coerce_transactions(
+    processed: DataFrame, timestamp_formats: tuple[str, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Typed transaction columns plus ``reason``, null for a valid row, and the columns of ``keep``.
 
     Missing text stays missing instead of turning into the word "nan" (V1); a missing tag is
     the empty tag. Bad timestamps (V2) and amounts too large to sum, infinite ones first (V8),
@@ -70,6 +72,7 @@ def coerce_transactions(processed: DataFrame, timestamp_formats: tuple[str, ...]
         F.col("transaction_method").cast("string").alias("transaction_method"),
         amount.alias("amount"),
         F.coalesce(F.col("segment_tag").cast("string"), F.lit("")).alias("segment_tag"),
+        *keep,
     )
     reason = (
         F.when(F.col("user_id").isNull(), "missing user_id")
@@ -87,6 +90,32 @@ def coerce_transactions(processed: DataFrame, timestamp_formats: tuple[str, ...]
     )
 
 
+def _coerced_lines(lines: DataFrame, columns: list[str], processed: list[Column], formats: tuple[str, ...]) -> DataFrame:
+    whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    source_row = F.coalesce("malformed_line", whole).alias("source_row")
+    kept = ("source_file", "malformed_line", "source_row")
+    typed = coerce_transactions(lines.select(*processed, *kept[:2], source_row), formats, kept)
+    reason = F.when(F.col("malformed_line").isNotNull(), "malformed line").otherwise(F.col("reason"))
+    return typed.withColumn("reason", reason).drop("malformed_line")
+
+
+def coerce_raw_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> DataFrame:
+    """P1-P9 over the rows of ``lenient_csv.read_raw_lenient``: as ``coerce_transactions``, with the time cut off.
+
+    Every row names its ``source_file`` and keeps what the file held as ``source_row``: the text of a malformed
+    line, and a JSON object of all ten columns otherwise, so that the quarantine can be mended and loaded again.
+    """
+    day = parse_timestamp(F.col("timestamp"), timestamp_formats).cast("date").alias("timestamp")
+    tags = combine_tags(*[F.col(name) for name in TAG_COLUMNS]).alias("segment_tag")
+    columns = ["user_id", day, "transaction_type", "transaction_method", "amount", tags]
+    return _coerced_lines(lines, RAW_COLUMNS, columns, ())
+
+
+def coerce_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> DataFrame:
+    """P5-P9 over the rows of ``lenient_csv.read_processed_lenient``, with ``source_file`` and ``source_row``."""
+    return _coerced_lines(lines, PROCESSED_COLUMNS, list(PROCESSED_COLUMNS), timestamp_formats)
+
+
 def valid_transactions(coerced: DataFrame) -> DataFrame:
     return coerced.filter(F.col("reason").isNull()).select(TRANSACTION_SCHEMA.names)
 

@@ -11,6 +11,7 @@ from walletlens.functions.text import combine_tags, year_month_label
 from walletlens.operators.aggregates import monthly_stats
 from walletlens.operators.cleaning import (
     TAG_COLUMNS,
+    coerce_raw_lines,
     coerce_transactions,
     for_user_month,
     is_spend,
@@ -29,7 +30,8 @@ from walletlens.sources.fact_table import (
     read_transactions,
     write_monthly_stats,
 )
-from walletlens.sources.tables import event_transactions, order_transactions, raw_events, table
+from walletlens.sources.lenient_csv import read_raw_lenient
+from walletlens.sources.tables import event_lines, event_transactions, order_transactions, raw_events, table
 
 
 def _iso(df: DataFrame) -> DataFrame:
@@ -70,6 +72,26 @@ def quarantined_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of files with short and long lines and quoted line breaks, loaded or with the text of what was not."""
+    root = scratch_path(spark, "lines")
+    lines = event_lines(spark, sf_dir)
+    for folder, wanted in (("plain", ~F.col("broken")), ("broken", F.col("broken"))):
+        lines.filter(wanted).select("line").write.text(f"{root}/{folder}")
+    read = coerce_raw_lines(read_raw_lenient(spark, [f"{root}/plain", f"{root}/broken"], header=False))
+    bad = F.col("reason").isNotNull()
+    return read.select(
+        "user_id",
+        iso_text(F.col("timestamp")).alias("timestamp"),
+        "transaction_type",
+        "transaction_method",
+        F.when(~bad, F.col("amount")).alias("amount"),
+        F.when(~bad, F.col("segment_tag")).alias("segment_tag"),
+        "reason",
+        F.when(bad, F.col("source_row")).alias("source_row"),
+    )
+
+
 def transaction_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "appended")
     transactions = event_transactions(spark, sf_dir)
@@ -136,6 +158,18 @@ _VALID = """SELECT user_id, {timestamp} AS timestamp, transaction_type, transact
   FROM typed WHERE reason IS NULL"""
 _DAY = "strftime(timestamp, '%Y-%m-%dT00:00:00')"
 
+_LINE_FIELDS = f"""CAST(user_id AS VARCHAR) || ',' || CASE user_id % 3 WHEN 0 THEN 'PRUDENT_PLANNERS' ELSE '' END || ',,nan,' ||
+  strftime(ts, '%Y-%m-%d') || ',app,' || {oracle.EVENT_TYPE} || ',' || {oracle.EVENT_METHOD} || ',,' || CAST(value AS VARCHAR)"""
+_LINES = f"""SELECT CASE WHEN ok THEN user_id END AS user_id, CASE WHEN ok THEN strftime(ts, '%Y-%m-%dT00:00:00') END AS timestamp,
+  CASE WHEN ok THEN kind END AS transaction_type, CASE WHEN ok THEN method END AS transaction_method,
+  CASE WHEN ok THEN value END AS amount,
+  CASE WHEN ok THEN concat_ws(', ', CASE WHEN CAST(user_id AS BIGINT) % 3 = 0 THEN 'PRUDENT_PLANNERS' END,
+    CASE WHEN event_id % 17 = 0 THEN 'LUSH' || chr(10) || 'DRINKERS' END) END AS segment_tag,
+  CASE WHEN NOT ok THEN 'malformed line' END AS reason,
+  CASE WHEN ok THEN NULL WHEN event_id % 11 = 0 THEN user_id || ',short' ELSE line || ',one,' || event_id END AS source_row
+FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts, value, {oracle.EVENT_TYPE} AS kind, {oracle.EVENT_METHOD} AS method,
+  {_LINE_FIELDS} AS line, event_id % 17 = 0 OR (event_id % 11 <> 0 AND event_id % 13 <> 0) AS ok FROM events)"""
+
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, f"WITH {oracle.RAW} {_VALID.format(timestamp=_DAY)}"),
     "processed_transactions": (
@@ -152,6 +186,7 @@ QUERIES = {
         f"""WITH {oracle.RAW} SELECT user_id, {_ISO} AS timestamp, transaction_type,
         transaction_method, segment_tag, reason FROM typed WHERE reason IS NOT NULL""",
     ),
+    "malformed_lines": (malformed_lines, _LINES),
     "transaction_append": (
         transaction_append,
         f"""WITH one AS (WITH {oracle.EVENTS} SELECT * FROM t),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-_EVENT_TYPE = """CASE WHEN event_type IN ('purchase','click') THEN 'SPEND'
+EVENT_TYPE = """CASE WHEN event_type IN ('purchase','click') THEN 'SPEND'
     WHEN event_type IN ('signup','view') THEN 'CASH-IN' ELSE 'OTHER' END"""
-_EVENT_METHOD = """CASE event_id % 4 WHEN 0 THEN 'SEND MONEY' WHEN 1 THEN 'QR'
+EVENT_METHOD = """CASE event_id % 4 WHEN 0 THEN 'SEND MONEY' WHEN 1 THEN 'QR'
     WHEN 2 THEN 'MAYA SHOP' ELSE 'BANK TRANSFER' END"""
 
 EVENTS = f"""t AS (
   SELECT CAST(user_id AS VARCHAR) AS user_id, ts AS timestamp,
-    {_EVENT_TYPE} AS transaction_type, {_EVENT_METHOD} AS transaction_method, value AS amount,
+    {EVENT_TYPE} AS transaction_type, {EVENT_METHOD} AS transaction_method, value AS amount,
     CASE (user_id + CASE WHEN day(ts) > 15 THEN 1 ELSE 0 END) % 4
       WHEN 0 THEN 'PROFESSIONAL_HUSTLERS, PRUDENT_PLANNERS' WHEN 1 THEN 'LUSH_DRINKERS'
       WHEN 2 THEN '' ELSE 'LOAN_AND_GAMING' END AS segment_tag,
@@ -28,8 +28,8 @@ ORDERS = """t AS (
 RAW = f"""raw AS (
   SELECT CASE WHEN event_id % 97 <> 0 THEN CAST(user_id AS VARCHAR) END AS user_id,
     CASE WHEN event_id % 89 <> 0 THEN date_trunc('second', ts) END AS timestamp,
-    {_EVENT_TYPE} AS transaction_type,
-    CASE WHEN event_id % 101 <> 0 THEN {_EVENT_METHOD} END AS transaction_method,
+    {EVENT_TYPE} AS transaction_type,
+    CASE WHEN event_id % 101 <> 0 THEN {EVENT_METHOD} END AS transaction_method,
     CASE WHEN event_id % 31 = 0 THEN 'abc' WHEN event_id % 37 = 0 THEN NULL
       WHEN event_id % 41 = 0 THEN 'nan' WHEN event_id % 43 = 0 THEN 'inf'
       WHEN event_id % 47 = 0 THEN '-Infinity' WHEN event_id % 53 = 0 THEN '-12.3456'

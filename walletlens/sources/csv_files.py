@@ -10,7 +10,7 @@ from walletlens.operators.cleaning import rename_positional
 from walletlens.schema import PROCESSED_SCHEMA, RAW_COLUMNS, RAW_SCHEMA
 
 # Quotes inside a field are doubled, as spreadsheet and data-frame writers do; blanks are data.
-_DIALECT = {
+DIALECT = {
     "header": "true",
     "quote": '"',
     "escape": '"',
@@ -19,7 +19,7 @@ _DIALECT = {
 }
 # A line with more or fewer fields than the file's columns is an error, not a row with shifted
 # or missing values; pruned columns would hide it.
-_STRICT = {**_DIALECT, "mode": "FAILFAST", "columnPruning": "false", "enforceSchema": "true"}
+_STRICT = {**DIALECT, "mode": "FAILFAST", "columnPruning": "false", "enforceSchema": "true"}
 
 
 def _null_tokens(df: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def read_raw_csv(spark: SparkSession, path: str | list[str], check_header: bool
     of another width fails before any job runs.
     """
     if check_header:
-        header = spark.read.options(**_DIALECT).csv(path)
+        header = spark.read.options(**DIALECT).csv(path)
         rename_positional(header, RAW_COLUMNS)
     return _null_tokens(spark.read.options(**_STRICT).schema(RAW_SCHEMA).csv(path))
 
@@ -45,4 +45,4 @@ def read_processed_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def write_processed_csv(processed: DataFrame, path: str) -> None:
     """S3: one CSV folder, written in parallel."""
-    processed.write.mode("overwrite").options(**_DIALECT).csv(path)
+    processed.write.mode("overwrite").options(**DIALECT).csv(path)

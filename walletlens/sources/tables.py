@@ -116,3 +116,22 @@ def given_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "template_embedding",
         "output_embedding",
     )
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of a raw file without a header: some short, some long, some with a quoted line break.
+
+    ``broken`` tells the lines with a break, which belong into files of their own.
+    """
+    fields = ["CAST(user_id AS STRING)", "CASE user_id % 3 WHEN 0 THEN 'PRUDENT_PLANNERS' ELSE '' END"]
+    break_tag = '"' + "LUSH" + "\n" + 'DRINKERS"'
+    fields += [f"CASE WHEN event_id % 17 = 0 THEN '{break_tag}' ELSE '' END", "'nan'", "date_format(ts, 'yyyy-MM-dd')"]
+    fields += ["'app'", _EVENT_TYPE, _EVENT_METHOD, "''", "CAST(value AS STRING)"]
+    whole = "concat_ws(',', " + ", ".join(fields) + ")"
+    return table(spark, sf_dir, "events").selectExpr(
+        f"""CASE WHEN event_id % 17 = 0 THEN {whole}
+              WHEN event_id % 11 = 0 THEN concat(CAST(user_id AS STRING), ',short')
+              WHEN event_id % 13 = 0 THEN concat({whole}, ',one,', CAST(event_id AS STRING))
+              ELSE {whole} END AS line""",
+        "event_id % 17 = 0 AS broken",
+    )
