@@ -18,8 +18,8 @@ _WHOLE_BELOW = float(1 << 63)
 _SPLITTER = float((1 << 27) + 1)
 
 
-# Larger amounts cannot be summed; nothing a wallet holds comes near.
-MAX_AMOUNT = 9.0e14
+# From here on doubles are too far apart for four decimals; ``operators.large_amounts`` sums such amounts.
+LARGE = float(1 << 39)
 
 
 def exact_sum(amount: Column) -> Column:
@@ -29,13 +29,10 @@ def exact_sum(amount: Column) -> Column:
     decimals (nothing, for money). Both are summed as whole numbers in parts of 20 bits, none of
     which overflows below 8e12 rows; that costs a fraction of summing decimals. The sum has
     eight decimals and may reach 1e22.
-    From 9e11 on, where doubles are more than 0.0001 apart, an amount counts to within half
-    of that distance. NaN and amounts of 9e14 and more raise; the loader keeps them out.
+    Amounts of ``LARGE`` and more (in size), NaN and infinities are left out: ``large_amounts.corrected``
+    takes the sums of their groups anew.
     """
-    summable = amount.isNull() | (F.abs(amount) < MAX_AMOUNT)
-    amount = F.when(summable, amount).otherwise(
-        F.raise_error(F.concat(F.lit("amount out of range: "), amount.cast("string"))).cast("double")
-    )
+    amount = F.when(F.abs(amount) < LARGE, amount)
     units = F.rint(amount * 10000.0)
     rest = F.rint((amount - units / 10000.0) * 1e12).cast("bigint")
     units = units.cast("bigint")

@@ -19,9 +19,18 @@ from walletlens.operators.cleaning import (
     is_cash_in,
     is_spend,
 )
+from walletlens.operators.large_amounts import corrected
 from walletlens.schema import CASH_IN, KEYS, SPEND
 
 
+def both_totals() -> dict[str, Column]:
+    """The amounts that the two totals add up."""
+    return {
+        "total_spend": F.when(is_spend(), F.col("amount")),
+        "total_cash_in": F.when(is_cash_in(), F.col("amount")),
+    }
+
+
 def exact_stats(t: DataFrame) -> DataFrame:
     """A1 with exact decimal totals, for what subtracts them."""
 
@@ -38,9 +47,8 @@ def exact_stats(t: DataFrame) -> DataFrame:
 
 def monthly_stats(t: DataFrame) -> DataFrame:
     """A1: spend and cash-in totals and counts; other types count in neither."""
-    return exact_stats(t).withColumns(
-        {name: F.col(name).cast("double") for name in ("total_spend", "total_cash_in")}
-    )
+    stats = exact_stats(t).withColumns({name: F.col(name).cast("double") for name in both_totals()})
+    return corrected(stats, t, (KEYS, both_totals()))
 
 
 def exact_methods(t: DataFrame) -> DataFrame:
@@ -53,7 +61,8 @@ def exact_methods(t: DataFrame) -> DataFrame:
 
 def methods_summary(t: DataFrame) -> DataFrame:
     """A2: count and amount per method and type, all types."""
-    return exact_methods(t).withColumn("total_amount", F.col("total_amount").cast("double"))
+    methods = exact_methods(t).withColumn("total_amount", F.col("total_amount").cast("double"))
+    return corrected(methods, t, ([*KEYS, "transaction_method", "transaction_type"], {"total_amount": F.col("amount")}))
 
 
 def user_segments(t: DataFrame) -> DataFrame:
@@ -85,7 +94,7 @@ def method_totals(t: DataFrame) -> DataFrame:
         total(SPEND, "count", F.lit(0)).alias("spend_count"),
         total(CASH_IN, "count", F.lit(0)).alias("cash_in_count"),
     )
-    return summed.select(
+    totals = summed.select(
         *KEYS,
         "transaction_type",
         "transaction_method",
@@ -97,6 +106,10 @@ def method_totals(t: DataFrame) -> DataFrame:
         "spend_count",
         "cash_in_count",
     )
+    net = F.when(is_cash_in(), F.col("amount")).otherwise(-F.col("amount"))
+    of_method = [*KEYS, "transaction_type", "transaction_method"]
+    months = (KEYS, {**both_totals(), "net_cash": net})
+    return corrected(totals, both, months, (of_method, {"method_amount": F.col("amount")}))
 
 
 def of_type(spend: str, cash_in: str) -> Column:
@@ -138,7 +151,7 @@ def top_spending(t: DataFrame, k: int = 3) -> DataFrame:
     """The k spending methods with the largest amounts; equal amounts in name order."""
     largest = Window.partitionBy(*KEYS).orderBy(F.desc("total_amount"), "transaction_method")
     return (
-        exact_methods(t.filter(is_spend()))
+        methods_summary(t.filter(is_spend()))
         .withColumn("rank", F.row_number().over(largest))
         .filter(F.col("rank") <= k)
         .select(
@@ -146,7 +159,7 @@ def top_spending(t: DataFrame, k: int = 3) -> DataFrame:
             "rank",
             "transaction_method",
             F.col("count").alias("method_count"),
-            F.col("total_amount").cast("double").alias("method_amount"),
+            F.col("total_amount").alias("method_amount"),
         )
     )
 
@@ -178,9 +191,9 @@ def active_user_stats(t: DataFrame, year: int, month: int, min_transactions: int
         exact = exact_sum(F.when(condition, F.col("amount")))
         return F.coalesce(exact.cast("double"), F.lit(0.0))
 
-    return (
-        in_month_seconds(t, year, month)
-        .groupBy("user_id")
+    rows = in_month_seconds(t, year, month)
+    users = (
+        rows.groupBy("user_id")
         .agg(
             F.count("*").alias("transaction_count"),
             total(is_spend()).alias("total_spend"),
@@ -188,6 +201,7 @@ def active_user_stats(t: DataFrame, year: int, month: int, min_transactions: int
         )
         .filter(F.col("transaction_count") >= min_transactions)
     )
+    return corrected(users, rows, (["user_id"], both_totals()))
 
 
 def active_users(

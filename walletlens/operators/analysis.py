@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from walletlens.functions.dates import days_in_month
 from walletlens.functions.numbers import no_money, ratio, share_percent, two_decimals
-from walletlens.operators.aggregates import exact_methods, exact_stats, method_totals, of_type
+from walletlens.operators.aggregates import both_totals, exact_methods, exact_stats, method_totals, of_type
 from walletlens.operators.cleaning import is_cash_in, is_spend
+from walletlens.operators.large_amounts import corrected
 from walletlens.schema import CASH_IN, KEYS, SPEND
 from walletlens.session import materialize
 
@@ -38,9 +39,11 @@ def transaction_behaviour(t: DataFrame, k: int = 3) -> DataFrame:
     one more shuffle of those instead of a second pass over the transactions.
     """
     both = t.filter(F.col("transaction_type").isin(SPEND, CASH_IN))
-    spending = F.struct((-F.col("total_amount")).alias("order"), "transaction_method")
+    spending = F.struct((-F.col("amount")).alias("order"), "transaction_method")
+    of_method = [*KEYS, "transaction_method", "transaction_type"]
+    methods = exact_methods(both).withColumn("amount", F.col("total_amount").cast("double"))
     months = (
-        exact_methods(both)
+        corrected(methods, both, (of_method, {"amount": F.col("amount")}))
         .groupBy(*KEYS)
         .agg(
             F.coalesce(F.sum(F.when(is_spend(), F.col("total_amount"))), no_money())
@@ -53,6 +56,7 @@ def transaction_behaviour(t: DataFrame, k: int = 3) -> DataFrame:
             F.collect_list(F.when(is_spend(), spending)).alias("methods"),
         )
     )
+    months = corrected(months, both, (KEYS, {"total_spend": F.when(is_spend(), F.col("amount"))}))
     total = F.col("spend_count") + F.col("cash_in_count")
     top = F.slice(F.array_sort("methods"), 1, k)["transaction_method"]
     return months.select(
@@ -78,6 +82,8 @@ def savings_position(t: DataFrame) -> DataFrame:
             (F.col("total_cash_in") - F.col("total_spend")).cast("double").alias("savings"),
         )
     )
+    net = F.when(is_cash_in(), F.col("amount")).when(is_spend(), -F.col("amount"))
+    exact = corrected(exact, t, (KEYS, {**both_totals(), "savings": net}))
     income, spend, savings = F.col("total_cash_in"), F.col("total_spend"), F.col("savings")
     rate = share_percent(savings, income)
     status = (

@@ -19,8 +19,9 @@ from walletlens.operators.cleaning import (
     quarantined,
     valid_transactions,
 )
+from walletlens.operators.large_amounts import corrected
 from walletlens.plans import oracle
-from walletlens.schema import PROCESSED_COLUMNS
+from walletlens.schema import KEYS, PROCESSED_COLUMNS
 from walletlens.session import scratch_path
 from walletlens.sources.csv_files import read_processed_csv, read_raw_csv, write_processed_csv
 from walletlens.sources.fact_table import (
@@ -116,14 +117,13 @@ def replay_safe_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     loads = {"spend": is_spend(), "other": ~is_spend()}
     for batch_id in ("spend", "other", "spend"):
         load_batch(transactions.filter(loads[batch_id]), root, batch_id)
-    return (
-        read_batches(spark, root)
-        .groupBy("batch_id", "user_id", "year", "month")
-        .agg(
-            F.count("*").alias("transaction_count"),
-            exact_sum(F.col("amount")).cast("double").alias("total_amount"),
-        )
+    loaded = read_batches(spark, root)
+    keys = ["batch_id", *KEYS]
+    totals = loaded.groupBy(*keys).agg(
+        F.count("*").alias("transaction_count"),
+        exact_sum(F.col("amount")).cast("double").alias("total_amount"),
     )
+    return corrected(totals, loaded, (keys, {"total_amount": F.col("amount")}))
 
 
 def monthly_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
