@@ -287,10 +287,12 @@ def similar_documents(
     profiles = seen.filter("cell IS NULL").select("node_doc", "n", "digest", "parity")
 
     counts = np.zeros(2 * cells, np.int64)  # at most this many rows come to the driver
-    summed = seen.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cell_docs").alias("docs")).toPandas()
-    counts[summed["cell"].to_numpy(dtype=np.intp)] = summed["docs"].to_numpy(dtype=np.int64)
+    summed = seen.filter("cell IS NOT NULL").groupBy("cell").agg(F.sum("cell_docs").alias("docs")).toArrow()
+    counts[summed["cell"].to_numpy()] = summed["docs"].to_numpy()
+    del summed
     shared = spark.sparkContext.broadcast(_rarity(counts, cells).tobytes())
 
+    del counts
     prefixes = docs.filter("node_doc IS NOT NULL").mapInArrow(_prefixes(size, cells, shared, percent), _PREFIX)
     same = Window.partitionBy("shingle")
     postings = (
@@ -301,6 +303,7 @@ def similar_documents(
         .distinct()
     )
     postings = materialize(postings, "jaccard-postings")
+    shared.destroy()
     nodes = materialize(postings.select("digest").distinct(), "jaccard-nodes")
     sizes = profiles.join(nodes, "digest", "left_semi").filter("node_doc IS NOT NULL")
     sizes = sizes.groupBy("digest").agg(F.min("node_doc").alias("node_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"))
