@@ -242,9 +242,11 @@ def _placed(guides, idf, mean: float, dtype: str):
 
 def _by_place(tails: DataFrame, number: int, idf, mean: float, dtype: str) -> DataFrame:
     """The tails dealt and sorted so that those of related words lie together."""
-    key = F.xxhash64("tail")
-    chosen = tails.groupBy(key.alias("key")).agg(F.min("tail").alias("tail")).orderBy("key").limit(min(GUIDES, 1 + number // PER_GUIDE))
-    guides = tails.sparkSession.sparkContext.broadcast([row.tail for row in chosen.collect()])
+    # Tasks send their smallest hashes only, then come the tails up to the last hash, one each.
+    hashed = tails.select(F.xxhash64("tail").alias("key"), "tail")
+    keys = hashed.select("key").distinct().orderBy("key").limit(min(GUIDES, 1 + number // PER_GUIDE)).collect()
+    chosen = hashed.filter(F.col("key") <= (keys[-1].key if keys else 0)).groupBy("key").agg(F.min("tail").alias("tail"))
+    guides = tails.sparkSession.sparkContext.broadcast([row.tail for row in sorted(chosen.collect())])
     order = [F.col("place"), F.col("score").desc(), F.col("doc_id"), F.col("start")]
     placed = tails.mapInArrow(_placed(guides, idf, mean, dtype), _PLACED)
     dealt = placed.repartitionByRange(1 + number // TASK_TAILS, *order)
@@ -306,7 +308,7 @@ def pack(
 
     # One count for each id of the vocabulary, plus two: bounded by the vocabulary.
     counted = tokens.filter("counts IS NOT NULL").select(F.posexplode("counts").alias("at", "n"))
-    counted = counted.groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toPandas()["n"].to_numpy(np.float64)
+    counted = counted.groupBy("at").agg(F.sum("n").alias("n")).orderBy("at").toArrow()["n"].to_numpy().astype(np.float64)
     if not len(counted):
         return tokens.select(*_COLUMNS)
     having, (total_docs, total_ids) = counted[:-2], counted[-2:]
