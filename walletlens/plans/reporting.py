@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from walletlens.functions.text import PLACEHOLDER
 from walletlens.functions.vectors import dot
 from walletlens.operators import reports, scoring
-from walletlens.operators.generation import generate, summary_writer
+from walletlens.operators.generation import ask_once, generate, summary_writer
 from walletlens.operators.profile import profile_text
 from walletlens.operators.prompts import COMPONENTS, catalogue_rows, fan_out
 from walletlens.plans import oracle
@@ -34,6 +34,35 @@ def generated_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outputs.select("user_id", "year", "month", "component", "approach", "output_text")
 
 
+def _failing_for(factory, ending: str):
+    """A generator that cannot answer in one style for users whose id ends like this."""
+
+    def made():
+        answer = factory()
+
+        def checked(batch):
+            bad = batch["profile_text"].str.contains(rf"^User \d*{ending} ") & (batch["approach"] == "few_shot")
+            if bad.any():
+                raise RuntimeError("no answer")
+            return answer(batch)
+
+        return checked
+
+    return made
+
+
+def answers_asked_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts of even users are asked by a generator that fails at some, then all of them by one that does not."""
+    ledger, prompts = scratch_path(spark, "answers"), _prompts(spark, sf_dir)
+    even = prompts.filter("CAST(user_id AS BIGINT) % 2 = 0")
+    ask_once(even, _failing_for(summary_writer(), "0"), ledger, "summary-1")
+    found = ask_once(prompts, summary_writer(), ledger, "summary-1", waves=2)
+    again = ask_once(prompts, _failing_for(summary_writer(), ""), ledger, "summary-1")
+    keys = ["user_id", "year", "month", "component", "approach"]
+    again = again.select(*keys, F.col("n_asked").alias("n_asked_later"))
+    return found.join(again, keys).select(*keys, "output_text", "error", "n_asked", "n_asked_later")
+
+
 def template_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given_candidates(spark, sf_dir).select(
         "user_id",
@@ -157,6 +186,18 @@ QUERIES = {
           (VALUES ('zero_shot'), ('few_shot'), ('chain_of_thought')) AS a(approach)
         WHERE has_data""",
     ),
+    "answers_asked_once": (
+        answers_asked_once,
+        f"""WITH {oracle.EVENTS}, {oracle.PROFILE}, asked AS (
+          SELECT *, CASE WHEN approach = 'few_shot' AND CAST(user_id AS BIGINT) % 10 = 0 THEN 2 ELSE 1 END AS times
+          FROM profiles, (VALUES ('executive_summary'), ('recommendations')) AS c(component),
+            (VALUES ('zero_shot'), ('few_shot'), ('chain_of_thought')) AS a(approach)
+          WHERE has_data)
+        SELECT user_id, year, month, component, approach,
+          {_TITLES} || ' (' || replace(approach, '_', ' ') || ')' || chr(10) || profile_text AS output_text,
+          CAST(NULL AS VARCHAR) AS error, CAST(times AS BIGINT) AS n_asked, CAST(times AS BIGINT) AS n_asked_later
+        FROM asked""",
+    ),
     "template_similarity": (
         template_similarity,
         f"WITH {oracle.CANDIDATES} SELECT user_id, component, approach, similarity FROM candidates",
