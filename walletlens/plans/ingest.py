@@ -29,9 +29,11 @@ from walletlens.sources.fact_table import (
     load_batch,
     read_batches,
     read_transactions,
+    remove_batch,
     write_monthly_stats,
 )
 from walletlens.sources.lenient_csv import read_raw_lenient
+from walletlens.sources.stats_table import read_stats, update_stats
 from walletlens.sources.tables import event_lines, event_transactions, order_transactions, raw_events, table
 
 
@@ -133,6 +135,21 @@ def monthly_stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(stats.schema).parquet(path)
 
 
+def monthly_stats_upkept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches are added, one is replaced by a part of it and one removed; each change is added up by itself."""
+    facts, stats = scratch_path(spark, "facts"), scratch_path(spark, "upkept")
+    transactions = order_transactions(spark, sf_dir)
+    batch = F.pmod(F.crc32("user_id"), F.lit(3))
+    for number in range(3):
+        load_batch(transactions.filter(batch == number), facts, f"b{number}")
+        update_stats(spark, facts, stats, f"b{number}")
+    load_batch(transactions.filter((batch == 1) & (F.col("year") < 1998)), facts, "b1")
+    update_stats(spark, facts, stats, "b1")
+    remove_batch(spark, facts, "b2")
+    update_stats(spark, facts, stats, "b2")
+    return read_stats(spark, stats)
+
+
 def month_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     months = (
         table(spark, sf_dir, "orders")
@@ -212,6 +229,14 @@ QUERIES = {
         monthly_stats_table,
         f"WITH {oracle.ORDERS}, {oracle.STATS} SELECT {_STATS_COLUMNS} FROM stats",
     ),
+    "monthly_stats_upkept": (
+        monthly_stats_upkept,
+        f"""WITH whole AS (WITH {oracle.ORDERS} SELECT * FROM t),
+        numbered AS (SELECT *, CAST(user_id AS VARCHAR) AS c FROM whole),
+        t AS (SELECT * FROM (SELECT *, xor({oracle.CRC32}, 4294967295::BIGINT) % 3 AS batch FROM numbered)
+          WHERE batch = 0 OR (batch = 1 AND year < 1998)), {oracle.STATS}
+        SELECT {_STATS_COLUMNS} FROM stats""",
+    ),
     "month_bounds": (
         month_bounds,
         """SELECT DISTINCT CAST(year(o_orderdate) AS INT) AS year,

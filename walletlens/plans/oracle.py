@@ -48,6 +48,12 @@ typed AS (
   FROM raw)"""
 
 
+#: CRC-32 of the ASCII text ``c`` before its last step, bit by bit.
+CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(c) + 1), lambda k: ascii(c[k])::BIGINT)),
+  lambda s, byte: list_reduce(list_prepend(xor(s, byte), range(8)),
+    lambda r, step: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END))"""
+
+
 def total(kind: str) -> str:
     return (
         f"coalesce(CAST(sum(CASE WHEN transaction_type = '{kind}' "

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from walletlens.operators import aggregates, analysis, profile
 from walletlens.plans import oracle
 from walletlens.functions.text import format_tag
+from walletlens.session import scratch_path
+from walletlens.sources.fact_table import load_batch, read_batches
 from walletlens.sources.tables import event_transactions, order_transactions, table
+from walletlens.sources.user_index import read_users, write_users
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,18 @@ def requested_user_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("message", F.coalesce("message", F.lit("")))
 
 
+def requested_status_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same answers from a stored table and its user index, both loaded in batches and one batch twice."""
+    root, index = scratch_path(spark, "facts"), scratch_path(spark, "users")
+    transactions = order_transactions(spark, sf_dir)
+    for batch in (0, 1, 0):
+        rows = transactions.filter(F.pmod(F.crc32("user_id"), F.lit(3)).isin([0, 2] if batch else [1]))
+        load_batch(rows, root, f"b{batch}")
+        write_users(rows, index, f"b{batch}")
+    found = profile.requested_status(read_batches(spark, root), requests(spark, sf_dir), read_users(spark, index))
+    return found.withColumn("message", F.coalesce("message", F.lit("")))
+
+
 def requested_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.requested_profiles(order_transactions(spark, sf_dir), requests(spark, sf_dir))
 
@@ -182,6 +197,11 @@ QUERIES = {
         f"""{_ANSWERED} SELECT {_KEYS}, status, {_MESSAGE.format(ok="''")} AS message
         FROM answered""",
     ),
+    "requested_status_indexed": (
+        requested_status_indexed,
+        f"""{_ANSWERED} SELECT {_KEYS}, status, {_MESSAGE.format(ok="''")} AS message
+        FROM answered""",
+    ),
     "requested_profiles": (
         requested_profiles,
         f"""{_ANSWERED} SELECT {_KEYS}, status, {_MESSAGE.format(ok="profile_text")} AS answer

@@ -28,24 +28,33 @@ def append_transactions(t: DataFrame, root: str) -> None:
     _laid_out(t).write.mode("append").partitionBy(*PARTITIONS).parquet(root)
 
 
+def batch_path(root: str, batch_id: str) -> str:
+    """The folder of a batch below ``root``."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
+        raise ValueError(f"batch_id must be a plain name of letters, digits, '.', '_' and '-', got {batch_id!r}")
+    return f"{root.rstrip('/')}/batch_id={batch_id}"
+
+
 def load_batch(t: DataFrame, root: str, batch_id: str) -> None:
     """Replay-safe load. Loading a batch again replaces all of it and nothing else.
 
     Equal rows within a batch are kept. The overwrite is static on the batch's own folder:
     overwriting only the months present would leave rows of months a corrected batch dropped.
     """
-    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
-        raise ValueError(f"batch_id must be a plain name of letters, digits, '.', '_' and '-', got {batch_id!r}")
-    path = f"{root.rstrip('/')}/batch_id={batch_id}"
     (
         _laid_out(t)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy(*PARTITIONS)
-        .parquet(path)
+        .parquet(batch_path(root, batch_id))
     )
 
 
+def remove_batch(spark: SparkSession, root: str, batch_id: str) -> None:
+    """Take all rows of a batch out; its folder stays, without rows."""
+    load_batch(spark.createDataFrame([], TRANSACTION_SCHEMA), root, batch_id)
+
+
 def read_transactions(spark: SparkSession, root: str) -> DataFrame:
     """Filters on year and month prune partitions, those on user_id reach the files."""
     return spark.read.schema(TRANSACTION_SCHEMA).parquet(root)
