@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -12,8 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from walletlens.llm import jaccard_join, line_dedup, quality, secret_scan, tool_calls
+from walletlens.llm import fingerprints, jaccard_join, line_dedup, quality, secret_scan, tool_calls
 from walletlens.llm.columns import unused
+from walletlens.sources.tables import table
 
 CLASHING = "host site cut lines kept drop dropped host_key path_key evidence site_rate quality gone key times __text __host __evidence _host"
 
@@ -138,3 +141,57 @@ def test_very_many_matches_in_one_text(spark):
     assert time.perf_counter() - start < 60
     assert row.n_hex == len(digests)
     assert row.spans == ",".join(f"hex:{33 * k}:{33 * k + 32}" for k in range(len(digests)))
+
+
+# --- fingerprints -----------------------------------------------------------------------------
+
+
+def pair_counts(text):
+    counts = collections.Counter()
+    for line in text.split("\n"):
+        words = re.split(r"[ \t\r\f\x0b]+", line.strip(" \t\r\f\x0b")) if line.strip(" \t\r\f\x0b") else []
+        counts.update(zip(words, words[1:], strict=False) if len(words) > 1 else words)
+    return counts
+
+
+def cosine(left, right):
+    size = math.sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
+    return sum(n * right[pair] for pair, n in left.items()) / size if size else 0.0
+
+
+def test_likeness_estimates_the_likeness_of_word_pairs(spark, sf_dir):
+    """Of every given document and its edited text, and of documents one after the other."""
+    documents = table(spark, sf_dir, "documents")
+    given = {row.doc_id: row.text or "" for row in documents.collect()}
+    order = sorted(given)
+    errors = []
+    for row in fingerprints.edited_fingerprints(documents).collect():
+        text, after = given[row.doc_id], given[order[(order.index(row.doc_id) + 1) % len(order)]]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        errors.append(abs(row.near_edited - cosine(pair_counts(text), pair_counts(edited))))
+        errors.append(abs(row.near_next - cosine(pair_counts(text), pair_counts(after))))
+    assert sum(errors) / len(errors) < 0.07 and sorted(errors)[int(0.99 * len(errors))] < 0.25
+
+
+def test_one_word_more_or_other_leaves_a_sentence_alike(spark):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(200):
+        words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(60)]
+        other = list(words)
+        other[rng.randrange(60)] = "changed"
+        rows.append((" ".join(words), " ".join([*words, "more"]), " ".join(other)))
+    frame = spark.createDataFrame(rows, "a string, b string, c string")
+    prints = frame.select(*[fingerprints.fingerprint(F.col(name)).alias(name) for name in "abc"])
+    near = prints.select(*[fingerprints.likeness(F.col("a"), F.col(name)).alias(name) for name in "bc"]).collect()
+    assert min(row.b for row in near) > 0.9 and sum(row.c for row in near) / 200 > 0.93 and min(row.c for row in near) > 0.85
+
+
+def test_the_next_document_of_scattered_ids(spark):
+    rng = random.Random(7)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(300)]
+    frame = spark.createDataFrame([(k, f"text {k}") for k in ids], "doc_id long, text string").repartition(6)
+    found = {row.doc_id: row.next_text for row in fingerprints.with_next(frame, "doc_id", "text").collect()}
+    order = sorted(ids)
+    assert found == {k: f"text {after}" for k, after in zip(order, order[1:] + order[:1], strict=True)}

@@ -6,18 +6,21 @@ two. So the order of paragraphs is irrelevant, and adding or removing one adds o
 vector (``combine``), without reading the rest of the document. The vector has two parts:
 
 * identity: 16 lanes modulo 2^31 and 2^30, hashed from the whole paragraph, two to a long;
-* likeness: 126 lanes modulo 2^20, three to a long. Each counts the pieces of the paragraph (runs
-  up to a punctuation mark followed by a blank) whose hash has that lane's bit set.
+* likeness: 126 lanes modulo 2^20, three to a long. Each counts the word pairs of the paragraph (two
+  words one after the other; a paragraph of one word counts as it is) whose hash has that lane's bit set.
 
-Documents with the same multiset of paragraphs have equal fingerprints; others differ but for a
-chance of 2^-488. The likeness of two fingerprints is the cosine of their likeness lanes after half
-the number of pieces is taken off, an estimate (standard deviation 0.09) of the cosine of the two
-multisets of pieces. Negative estimates count as 0; equal fingerprints have likeness 1.
+Documents with the same multiset of paragraphs have equal fingerprints. Others differ unless sums of their
+hashes agree in all 488 bits, which chance does not bring about but somebody might: the hashes are not
+cryptographic. The likeness of two fingerprints is the cosine of their likeness lanes after half
+the number of pairs is taken off, an estimate (standard deviation at most 0.09, less for like texts) of the
+cosine of the two multisets of word pairs. Negative estimates count as 0; equal fingerprints have likeness 1.
 
 DataFrame functions only; no row is exploded, and texts are shuffled once.
 
 Null text: empty. Empty text: all lanes 0. Null document ids come first in the order, rows of the
-same id in the order of their texts. Empty table: no rows. Other columns are not read.
+same id in the order of their texts. Very long texts: whole in their row; from 2^20 word pairs on a lane may
+wrap, which changes no equality and makes their likeness smaller. Empty table: no rows. Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ RUN_BITS = 7
 _IDENTITY_MASK = ((1 << 30) - 1) << 32 | ((1 << 31) - 1)
 _VOTE_BITS = 1 << 42 | 1 << 21 | 1
 _VOTE_MASK = ((1 << 20) - 1) * _VOTE_BITS
-_PIECE_END = r"\n|(?<=[.!?;:,|])[ \t]+"
+_BLANK = r"[ \t\r\f\x0b]+"
 _NO_ID = -(1 << 62)
 
 
@@ -68,8 +71,19 @@ def _votes(hashes: Column) -> Column:
     return F.transform(shifts, lambda k: _sum(hashes, lambda h: votes(k, h), _VOTE_MASK))
 
 
+def _word_pairs(paragraph: Column) -> Column:
+    """Hashes of the pairs of neighbouring words of a paragraph that is not blank; of its word if it has one."""
+
+    def pairs(words: Column) -> Column:
+        more = F.size(words) - 1
+        paired = F.zip_with(F.slice(words, F.lit(1), more), F.slice(words, F.lit(2), more), lambda a, b: F.xxhash64(a, b))
+        return F.when(more > 0, paired).otherwise(F.transform(words, lambda a: F.xxhash64(a)))
+
+    return _once(F.split(paragraph, _BLANK), pairs)
+
+
 def _likeness_part(pieces: Column) -> Column:
-    """Packed votes of both hashes, then the count of pieces."""
+    """Packed votes of two hashes of each piece, then the count of pieces."""
 
     def hashed(seed: int) -> Column:
         return F.transform(pieces, lambda p: F.xxhash64(F.lit(seed), p))
@@ -80,9 +94,12 @@ def _likeness_part(pieces: Column) -> Column:
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text that is not null: longs of the identity, packed votes, count of pieces."""
-    paragraphs = _not_blank(F.split(text, "\n"))
-    pieces = _not_blank(F.split(text, _PIECE_END))
-    return F.concat(_once(paragraphs, _identity), _once(pieces, _likeness_part))
+
+    def parts(paragraphs: Column) -> Column:
+        pairs = F.flatten(F.transform(paragraphs, _word_pairs))
+        return F.concat(_identity(paragraphs), _once(pairs, _likeness_part))
+
+    return _once(_not_blank(F.split(text, "\n")), parts)
 
 
 def _identity_part(print_of: Column) -> Column:
@@ -143,17 +160,15 @@ def shown(print_of: Column) -> Column:
 def _next_runs(heads: DataFrame) -> DataFrame:
     """(run, next_run) in ascending order, the last one's next is the first.
 
-    Windows go over blocks of runs; only one row of each block is ordered in a single task, which is
-    one for each 2^(2 * RUN_BITS) ids.
+    Windows go over ranges of runs; only the first run of each range is ordered in a single task.
     """
-    runs = heads.select("run").withColumn("block", F.shiftright("run", RUN_BITS))
-    runs = runs.withColumn("later", F.lead("run").over(Window.partitionBy("block").orderBy("run")))
-    blocks = runs.groupBy("block").agg(F.min("run").alias("first"))
-    order = Window.orderBy("block")
+    runs = materialize(heads.select("run").repartitionByRange("run").withColumn("part", F.spark_partition_id()), "runs")
+    firsts = runs.groupBy("part").agg(F.min("run").alias("first"))
+    order = Window.orderBy("part")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    blocks = blocks.withColumn("after", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)))
-    joined = runs.join(blocks.select("block", "after"), "block")
-    return joined.select("run", F.coalesce("later", "after").alias("next_run"))
+    firsts = firsts.select("part", F.coalesce(F.lead("first").over(order), F.first("first").over(whole)).alias("after"))
+    later = F.lead("run").over(Window.partitionBy("part").orderBy("run"))
+    return runs.withColumn("later", later).join(firsts, "part").select("run", F.coalesce("later", "after").alias("next_run"))
 
 
 def with_next(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
