@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from walletlens.llm import fingerprints, jaccard_join, line_dedup, quality, secret_scan, tool_calls
+from walletlens.llm import fingerprints, html_text, jaccard_join, line_dedup, quality, secret_scan, tool_calls
 from walletlens.llm.columns import unused
 from walletlens.sources.tables import table
 
@@ -195,3 +195,48 @@ def test_the_next_document_of_scattered_ids(spark):
     found = {row.doc_id: row.next_text for row in fingerprints.with_next(frame, "doc_id", "text").collect()}
     order = sorted(ids)
     assert found == {k: f"text {after}" for k, after in zip(order, order[1:] + order[:1], strict=True)}
+
+
+# --- pages ------------------------------------------------------------------------------------
+
+
+def test_given_pages_without_their_article_tag_give_the_same_text(spark, sf_dir):
+    for row in table(spark, sf_dir, "pages").collect():
+        renamed = re.sub(r"<(/?)(article|main)\b", r"<\1div", row.html)
+        assert html_text.main_text(renamed) == html_text.main_text(row.html)
+
+
+BODY = "".join(f"<p>Paragraph {k} of the article, which says a little, and then some more about the matter.</p>" for k in range(5))
+TEXT = [f"Paragraph {k} of the article, which says a little, and then some more about the matter." for k in range(5)]
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_names_of_classes_only_weigh(around):
+    def lines(more):
+        return html_text.main_text(f"<body><nav><a href=/>Home</a></nav><{around}>{BODY}{more}</{around}></body>").split("\n")
+
+    assert lines('<p class="related">A related matter is told here.</p>') == [*TEXT, "A related matter is told here."]
+    more = '<div class="discussion"><h2>Discussion</h2><p>The matter is discussed.</p></div>'
+    assert lines(more) == [*TEXT, "Discussion", "The matter is discussed."]
+    assert lines('<p class="byline">By Jane Doe</p>') == [*TEXT, "By Jane Doe"]
+    assert lines('<ul class="related"><li><a href=/1>Another story</a></li><li><a href=/2>And another</a></li></ul>') == TEXT
+    comments = "".join(f"<p>Reader {k}, who writes, a lot, of words, here, says this, and that, and more.</p>" for k in range(40))
+    assert lines(f'<div class="comments">{comments}</div>') == TEXT
+    assert lines('<div class="ad">Buy this now, it is cheap.</div><div class="cookie-notice">We use cookies.</div>') == TEXT
+
+
+def test_sections_beside_the_best_container_stay():
+    page = f"<body><div><div>{BODY}</div><div><h2>B</h2><p>Short words</p></div><div>Share this</div></div></body>"
+    assert html_text.main_text(page).split("\n") == [*TEXT, "B", "Short words"]
+
+
+def test_pages_with_defects(spark):
+    rows = [(1, "u", f"<article>{BODY}</article>", "x", 1), (1, "u", f"<article>{BODY}</article>", "x", 1), (None, None, None, "x", 1), (2, None, "", "x", 1)]
+    rows += [(3, "u", "<p>" + "long text, " * 200_000, "x", 1), (4, "u", "<div class='comments'><p>Only readers.</p></div>", "x", 1)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    found = html_text.page_texts(frame).collect()
+    assert [(r.page_id, r.url) for r in found] == [row[:2] for row in rows]
+    assert [r.n_chars for r in found] == [len(r.text) for r in found]
+    assert found[0].text == found[1].text == "\n".join(TEXT) and found[2].text == found[3].text == ""
+    assert found[4].n_chars == 11 * 200_000 - 1 and found[5].text == ""
+    assert html_text.page_texts(frame.limit(0)).collect() == []

@@ -15,7 +15,8 @@ space within a block turned into single spaces. Tags left open, cut off or close
 as browsers do in the cases that matter here. Every page is processed whole, by itself.
 
 Null, empty or blank html, and pages without text: an empty text. Html without any tag: its text.
-Null url or id, repeated rows: kept as they are. Empty table: no rows. Other columns are not read.
+Null url or id, repeated rows: kept as they are. Very long pages: one is in memory at a time with its
+batch. Empty table: no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -59,14 +60,17 @@ _LEFT_OUT = frozenset(
     "option select".split()
 )
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
-#: First or last words of classes and ids of such elements.
-_WORDS = frozenset(
-    "ad ads adsense advert advertisement adverts adslot alert aside banner breadcrumb breadcrumbs byline captcha comment "
-    "commentlist comments consent cookie cookies copyright cta discussion disqus feedback footer gdpr header login "
-    "masthead menu modal nav navbar navigation newsletter notice notification outbrain pager pagination paywall popup "
-    "promo promoted promotion recommended recommendations related replies reply respond responses search share sharebar "
-    "sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget".split()
+#: First or last words of classes and ids that are hardly ever article text, and of those that may be.
+_BAD_WORDS = frozenset(
+    "ad ads adsense advert advertisement adverts adslot alert aside banner breadcrumb breadcrumbs captcha comment "
+    "commentlist comments consent cookie cookies copyright cta disqus footer gdpr header login masthead menu modal nav "
+    "navbar navigation newsletter notice notification outbrain pager pagination paywall popup promo promoted promotion "
+    "replies reply respond share sharebar sharing sidebar signup skip sponsor sponsored subscribe subscription taboola "
+    "toolbar topbar widget".split()
 )
+_DOUBTFUL_WORDS = frozenset("byline discussion feedback recommended recommendations related responses search social".split())
+_BAD, _DOUBTFUL = 0.02, 0.5
+_ENOUGH = 0.5
 _GOOD_WORDS = frozenset("article body content entry main page post story text".split())
 _LAYOUT = frozenset("has have no not is with without".split())
 _SPLIT_NAME = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -90,6 +94,7 @@ class _Page:
         self.tag = [""]
         self.parent = [0]
         self.out = [False]
+        self.factor = [1.0]
         self.bonus = [0.0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, letters inside links
         self.stack = [0]
@@ -146,10 +151,12 @@ class _Page:
             return
         above = self.stack[-1]
         inside_article, inside_main = bool(self.open.get("article")), bool(self.open.get("main"))
-        out, bonus = _judge(tag, attributes, inside_article, inside_main) if attributes or tag in _SPECIAL else (False, 0.0)
+        judged = attributes or tag in _SPECIAL
+        out, factor, bonus = _judge(tag, attributes, inside_article, inside_main) if judged else (False, 1.0, 0.0)
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(self.out[above] or out)
+        self.factor.append(factor)
         self.bonus.append(bonus)
         if not (closed and tag not in _BLOCKS):
             self.stack.append(len(self.tag) - 1)
@@ -167,34 +174,35 @@ class _Page:
 _SPECIAL = _LEFT_OUT | frozenset(_BONUS) | {"header"}
 
 
-def _judge(tag: str, attributes: str, inside_article: bool, inside_main: bool) -> tuple[bool, float]:
-    """Whether an element is left out, and its points before any text."""
+def _judge(tag: str, attributes: str, inside_article: bool, inside_main: bool) -> tuple[bool, float, float]:
+    """Whether an element is left out, the weight of its name, and its points before any text."""
     named = (inside_article or inside_main) and (tag == "section" or tag in _HEADINGS)  # ids of these name topics
-    bonus = _BONUS.get(tag, 0.0)
+    factor, bonus = 1.0, _BONUS.get(tag, 0.0)
     if tag in ("html", "body", "article", "main"):
-        return False, bonus
+        return False, factor, bonus
     if tag in _LEFT_OUT or (tag == "header" and not inside_article):
-        return True, bonus
+        return True, factor, bonus
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, bonus
+            return True, factor, bonus
         if name == "role" and value.lower() in _ROLES:
-            return True, bonus
+            return True, factor, bonus
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True, bonus
+            return True, factor, bonus
         if name in ("class", "id"):
             for token in html.unescape(value).split():
                 words = [word.lower() for word in _SPLIT_NAME.split(token) if word]
                 if not words or _LAYOUT.intersection(words):
                     continue
-                header = words[-1] == "header" and inside_article
-                topic = name == "id" and named
-                if (words[0] in _WORDS or words[-1] in _WORDS) and not header and not topic:
-                    return True, bonus
+                if not ((words[-1] == "header" and inside_article) or (name == "id" and named)):
+                    if _BAD_WORDS.intersection((words[0], words[-1])):
+                        factor = min(factor, _BAD)
+                    elif _DOUBTFUL_WORDS.intersection((words[0], words[-1])):
+                        factor = min(factor, _DOUBTFUL)
                 if _GOOD_WORDS.intersection(words):
                     bonus = max(bonus, 10.0)
-    return False, bonus
+    return False, factor, bonus
 
 
 def _read(source: str) -> _Page:
@@ -229,11 +237,19 @@ def main_text(source: str | None) -> str:
         return ""
     count = len(page.tag)
     points, length, linked = [0.0] * count, [0] * count, [0] * count
+    worths, texts = [0.0] * count, [0] * count
+    weight = [1.0] * count
+    for element in range(1, count):
+        weight[element] = weight[page.parent[element]] * page.factor[element]
     for element, text, in_links in page.blocks:
-        length[element] += len(text)
-        linked[element] += in_links
         plain = 1 - min(1.0, in_links / len(text))
         worth = (1 + text.count(",") + min(len(text) / 100, 3.0)) * plain
+        worths[element] += worth
+        texts[element] += 1
+        worth *= weight[element]
+        if weight[element] > _BAD:
+            length[element] += len(text)
+            linked[element] += in_links
         holder = page.parent[element] if page.tag[element] in _PARAGRAPHS else element
         for level in range(_LEVELS):
             points[holder] += worth / (1 + level)
@@ -243,12 +259,16 @@ def main_text(source: str | None) -> str:
     for element in range(count - 1, 0, -1):  # children come after their parents
         length[page.parent[element]] += length[element]
         linked[page.parent[element]] += linked[element]
+        worths[page.parent[element]] += worths[element]
+        texts[page.parent[element]] += texts[element]
+    poor = [page.factor[e] < 1 and worths[e] * page.factor[e] < _ENOUGH * texts[e] for e in range(count)]
 
     def score(element: int) -> float:
         plain = 1 - min(1.0, linked[element] / max(1, length[element]))
         return (points[element] + page.bonus[element]) * plain if points[element] else 0.0
 
-    holders = [e for e in range(1, count) if points[e] and not page.out[e] and page.tag[e] not in ("html", "body")]
+    holders = [e for e in range(1, count) if points[e] and not page.out[e] and weight[e] > _BAD]
+    holders = [e for e in holders if page.tag[e] not in ("html", "body")]
     holders = [e for e in holders if page.tag[e] not in _PARAGRAPHS or page.tag[e] in ("td", "blockquote")]
     best = max(holders, key=lambda e: (score(e), -e), default=0)
     above, around = best, 0
@@ -259,7 +279,7 @@ def main_text(source: str | None) -> str:
     best = around or best
     kept = {best}
     for element in range(1, count):
-        if page.parent[element] == page.parent[best] and best and not page.out[element]:
+        if page.parent[element] == page.parent[best] and best and not page.out[element] and not poor[element]:
             dense = linked[element] / max(1, length[element])
             if dense < 0.3 and score(element) >= max(10.0, 0.2 * score(best)):
                 kept.add(element)
@@ -269,7 +289,7 @@ def main_text(source: str | None) -> str:
         loose = page.parent[best]
     inside = [False] * count
     for element in range(count):
-        inside[element] = element in kept or (element > 0 and inside[page.parent[element]])
+        inside[element] = element in kept or (element > 0 and inside[page.parent[element]] and not poor[element])
     return "\n".join(
         text
         for element, text, in_links in page.blocks
@@ -284,11 +304,15 @@ def _reads_as_text(text: str) -> bool:
 def _beside(page: _Page, best: int, length: list[int], linked: list[int]) -> set[int]:
     """Elements around ``best`` that are kept for their own text, nearest first."""
     children: dict[int, list[int]] = {}
-    reads = [False] * len(page.tag)
+    reads, heads, plain = ([False] * len(page.tag) for _ in range(3))
     for element, text, in_links in page.blocks:
         reads[element] = reads[element] or (in_links < 0.3 * len(text) and _reads_as_text(text))
+        heads[element] = heads[element] or page.tag[element] in _HEADINGS
+        plain[element] = plain[element] or (page.tag[element] == "p" and not in_links and not _RIGHTS.search(text))
     for element in range(len(page.tag) - 1, 0, -1):  # children come after their parents
         reads[page.parent[element]] |= reads[element]
+        heads[page.parent[element]] |= heads[element]
+        plain[page.parent[element]] |= plain[element]
         if length[element] and not page.out[element]:
             children.setdefault(page.parent[element], []).append(element)
 
@@ -298,7 +322,7 @@ def _beside(page: _Page, best: int, length: list[int], linked: list[int]) -> set
         above = page.parent[level]
         follows = False  # whether what comes next, headings aside, is kept
         whole = True
-        for element in children[above]:  # from the last to the first
+        for element in children.get(above, []):  # from the last to the first
             if element == level:
                 follows = True
                 continue
@@ -306,7 +330,9 @@ def _beside(page: _Page, best: int, length: list[int], linked: list[int]) -> set
             if page.tag[element] in _HEADINGS:
                 keep = follows and dense < 0.3
             else:
-                keep = dense < 0.3 and (reads[element] or (page.tag[element] in _LINKLESS and not linked[element]))
+                section = heads[element] and plain[element]  # a heading and a paragraph without links
+                linkless = page.tag[element] in _LINKLESS and not linked[element]
+                keep = dense < 0.3 and page.factor[element] == 1 and (reads[element] or section or linkless)
                 follows = keep
             whole = whole and keep
             if keep:
