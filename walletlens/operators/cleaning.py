@@ -91,10 +91,19 @@ def coerce_transactions(
 def _coerced_lines(lines: DataFrame, columns: list[str], processed: list[Column], formats: tuple[str, ...]) -> DataFrame:
     whole = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     source_row = F.coalesce("malformed_line", whole).alias("source_row")
-    kept = ("source_file", "malformed_line", "source_row")
-    typed = coerce_transactions(lines.select(*processed, *kept[:2], source_row), formats, kept)
-    reason = F.when(F.col("malformed_line").isNotNull(), "malformed line").otherwise(F.col("reason"))
-    return typed.withColumn("reason", reason).drop("malformed_line")
+    problem = F.when(F.col("malformed_line").isNotNull(), "malformed line")
+    if "time_problem" in lines.columns:
+        problem = F.coalesce(problem, "time_problem")
+    rows = lines.select(*processed, "source_file", source_row, problem.alias("problem"))
+    typed = coerce_transactions(rows, formats, ("source_file", "source_row", "problem"))
+    return typed.withColumn("reason", F.coalesce("problem", "reason")).drop("problem")
+
+
+def _line_time(lines: DataFrame, formats: tuple[str, ...]) -> Column:
+    """The time of a line: as inferred from its file, where that was done."""
+    if "parsed_time" in lines.columns:
+        return F.col("parsed_time")
+    return parse_timestamp(F.col("timestamp"), formats)
 
 
 def coerce_raw_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> DataFrame:
@@ -102,8 +111,9 @@ def coerce_raw_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ())
 
     Every row names its ``source_file`` and keeps what the file held as ``source_row``: the text of a malformed
     line, and a JSON object of all ten columns otherwise, so that the quarantine can be mended and loaded again.
+    Times are read as ``time_formats.with_inferred_times`` found, if the lines went through it.
     """
-    day = parse_timestamp(F.col("timestamp"), timestamp_formats).cast("date").alias("timestamp")
+    day = _line_time(lines, timestamp_formats).cast("date").alias("timestamp")
     tags = combine_tags(*[F.col(name) for name in TAG_COLUMNS]).alias("segment_tag")
     columns = ["user_id", day, "transaction_type", "transaction_method", "amount", tags]
     return _coerced_lines(lines, RAW_COLUMNS, columns, ())
@@ -111,7 +121,9 @@ def coerce_raw_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ())
 
 def coerce_lines(lines: DataFrame, timestamp_formats: tuple[str, ...] = ()) -> DataFrame:
     """P5-P9 over the rows of ``lenient_csv.read_processed_lenient``, with ``source_file`` and ``source_row``."""
-    return _coerced_lines(lines, PROCESSED_COLUMNS, list(PROCESSED_COLUMNS), timestamp_formats)
+    time = _line_time(lines, timestamp_formats).alias("timestamp")
+    columns = [time if name == "timestamp" else F.col(name) for name in PROCESSED_COLUMNS]
+    return _coerced_lines(lines, PROCESSED_COLUMNS, columns, ())
 
 
 def valid_transactions(coerced: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from walletlens.operators.cleaning import (
     valid_transactions,
 )
 from walletlens.operators.large_amounts import corrected
+from walletlens.operators.time_formats import with_inferred_times
 from walletlens.plans import oracle
 from walletlens.schema import KEYS, PROCESSED_COLUMNS
 from walletlens.session import scratch_path
@@ -34,7 +35,7 @@ from walletlens.sources.fact_table import (
 )
 from walletlens.sources.lenient_csv import read_raw_lenient
 from walletlens.sources.stats_table import read_stats, update_stats
-from walletlens.sources.tables import event_lines, event_transactions, order_transactions, raw_events, table
+from walletlens.sources.tables import dated_event_lines, event_lines, event_transactions, order_transactions, raw_events, table
 
 
 def _iso(df: DataFrame) -> DataFrame:
@@ -95,6 +96,24 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def inferred_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries in formats that their rows settle, or do not: loaded rows and reasons."""
+    root = scratch_path(spark, "deliveries")
+    dated_event_lines(spark, sf_dir).write.partitionBy("delivery").text(root)
+    lines = read_raw_lenient(spark, f"{root}/*", header=False)
+    folder = F.regexp_extract("source_file", "delivery=([a-z]+)", 1)
+    lines = with_inferred_times(lines.withColumn("delivery", folder), unit="delivery")
+    read = coerce_raw_lines(lines)
+    return read.select(
+        "user_id",
+        iso_text(F.col("timestamp")).alias("timestamp"),
+        "transaction_type",
+        "amount",
+        "reason",
+        F.regexp_extract("source_file", "delivery=([a-z]+)", 1).alias("delivery"),
+    )
+
+
 def transaction_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "appended")
     transactions = event_transactions(spark, sf_dir)
@@ -187,6 +206,14 @@ _LINES = f"""SELECT CASE WHEN ok THEN user_id END AS user_id, CASE WHEN ok THEN
 FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, ts, value, {oracle.EVENT_TYPE} AS kind, {oracle.EVENT_METHOD} AS method,
   {_LINE_FIELDS} AS line, event_id % 17 = 0 OR (event_id % 11 <> 0 AND event_id % 13 <> 0) AS ok FROM events)"""
 
+_TIMES = f"""SELECT user_id, CASE WHEN reason IS NULL THEN strftime(ts, '%Y-%m-%dT00:00:00') END AS timestamp,
+  transaction_type, amount, reason, delivery
+FROM (SELECT *, CASE WHEN event_id % 19 = 0 THEN 'missing or unparsable timestamp' WHEN delivery = 'mixed' THEN 'mixed time formats'
+    WHEN delivery = 'torn' THEN 'ambiguous time format' END AS reason
+  FROM (SELECT event_id, ts, CAST(user_id AS VARCHAR) AS user_id, {oracle.EVENT_TYPE} AS transaction_type, value AS amount,
+      CASE user_id % 5 WHEN 0 THEN 'iso' WHEN 1 THEN 'american' WHEN 2 THEN 'british' WHEN 3 THEN 'mixed'
+        ELSE CASE WHEN day(ts) BETWEEN 2 AND 12 THEN 'torn' ELSE 'iso' END END AS delivery FROM events))"""
+
 QUERIES = {
     "csv_roundtrip": (csv_roundtrip, f"WITH {oracle.RAW} {_VALID.format(timestamp=_DAY)}"),
     "processed_transactions": (
@@ -204,6 +231,7 @@ QUERIES = {
         transaction_method, segment_tag, reason FROM typed WHERE reason IS NOT NULL""",
     ),
     "malformed_lines": (malformed_lines, _LINES),
+    "inferred_times": (inferred_times, _TIMES),
     "transaction_append": (
         transaction_append,
         f"""WITH one AS (WITH {oracle.EVENTS} SELECT * FROM t),

@@ -135,3 +135,22 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
               ELSE {whole} END AS line""",
         "event_id % 17 = 0 AS broken",
     )
+
+
+def dated_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of raw files whose times are written in one of several formats, by ``delivery``.
+
+    The deliveries: ISO times, two orders of day and month, one with only days that both orders read, and
+    one that mixes two formats. Some lines have no time that anything could read.
+    """
+    patterns = {"iso": "yyyy-MM-dd HH:mm:ss", "american": "MM/dd/yyyy", "british": "dd/MM/yyyy HH:mm", "torn": "MM-dd-yyyy"}
+    written = " ".join(f"WHEN '{name}' THEN date_format(ts, '{pattern}')" for name, pattern in patterns.items())
+    mixed = "CASE WHEN event_id % 2 = 0 THEN date_format(ts, 'dd.MM.yyyy') ELSE date_format(ts, 'yyyy/MM/dd') END"
+    delivered = table(spark, sf_dir, "events").selectExpr(
+        "*",
+        """CASE user_id % 5 WHEN 0 THEN 'iso' WHEN 1 THEN 'american' WHEN 2 THEN 'british' WHEN 3 THEN 'mixed'
+             ELSE CASE WHEN day(ts) BETWEEN 2 AND 12 THEN 'torn' ELSE 'iso' END END AS delivery""",
+    )
+    time = f"CASE WHEN event_id % 19 = 0 THEN 'some day' ELSE CASE delivery {written} ELSE {mixed} END END"
+    fields = ["CAST(user_id AS STRING)", "''", "''", "''", time, "'app'", _EVENT_TYPE, _EVENT_METHOD, "''", "CAST(value AS STRING)"]
+    return delivered.selectExpr("concat_ws(',', " + ", ".join(fields) + ") AS line", "delivery")
