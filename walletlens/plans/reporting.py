@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,29 +139,53 @@ def report_lookup_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_display(written, user_id="1", year=2024, month="January")
 
 
-def fitted_safety(spark: SparkSession, sf_dir: str) -> PipelineModel:
-    """The classifier, fitted on the training part of the labelled documents."""
-    labelled = table(spark, sf_dir, "documents").join(
-        table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id"
-    )
-    return scoring.fit_safety(scoring.labelled_split(labelled, "doc_id")[0])
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter("toxic IS NOT NULL")
+    return table(spark, sf_dir, "documents").join(labels, "doc_id")
+
+
+def fitted_safety(spark: SparkSession, sf_dir: str) -> tuple[PipelineModel, IsotonicRegressionModel]:
+    """The classifier, fitted on the training part of the labelled documents, and its calibration on another part."""
+    training, calibration, _ = scoring.labelled_parts(_labelled(spark, sf_dir), "doc_id")
+    model = scoring.fit_safety(training)
+    return model, scoring.fit_calibration(model, calibration)
 
 
 def safety_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scoring.classify(fitted_safety(spark, sf_dir), documents, "text").drop("text")
+    model, calibration = fitted_safety(spark, sf_dir)
+    return scoring.classify(model, documents, "text", calibration).drop("text")
+
+
+def safety_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often flags are right on labelled documents that neither fit has seen, by confidence."""
+    model, calibration = fitted_safety(spark, sf_dir)
+    _, _, holdout = scoring.labelled_parts(_labelled(spark, sf_dir), "doc_id")
+    return scoring.reliability(scoring.classify(model, holdout, "text", calibration))
+
+
+def _embedder(spark: SparkSession, sf_dir: str) -> PipelineModel:
+    """The learned embedding, fitted on the conversations, saved and read back."""
+    path = scratch_path(spark, "embedder")
+    scoring.save_embedder(scoring.fit_word_embedder(table(spark, sf_dir, "conversations").select("text")), path)
+    return scoring.load_embedder(path)
 
 
 def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    embedded = scoring.embed(scoring.fit_embedder(turns), turns, "text", "embedding")
+    embedded = scoring.embed(_embedder(spark, sf_dir), turns, "text", "embedding")
     return embedded.select("conv_id", "turn", "embedding")
 
 
 def winner_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole report job: profiles to nested reports, shown flat."""
+    safety, calibration = fitted_safety(spark, sf_dir)
     made = reports.generate_reports(
-        event_transactions(spark, sf_dir), summary_writer(), fitted_safety(spark, sf_dir)
+        event_transactions(spark, sf_dir),
+        summary_writer(),
+        safety,
+        embedder=_embedder(spark, sf_dir),
+        calibration=calibration,
     )
     return reports.report_rows(made)
 
@@ -242,6 +267,7 @@ QUERIES = {
           similarity_score, output_text FROM flat WHERE user_id = '1'""",
     ),
     "safety_classifier": (safety_classifier, None),
+    "safety_reliability": (safety_reliability, None),
     "text_embedding": (text_embedding, None),
     "winner_reuse": (winner_reuse, None),
 }
