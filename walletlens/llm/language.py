@@ -13,8 +13,9 @@ whatever the corpus holds. Counting is combined per task before the shuffle. Pre
 document's words at a time, so no group can be large.
 
 Null text, empty text or no letter: ``und`` with score 0 and no proportions. Nothing to learn from:
-``und`` for all. Ties: the language first by name. Repeated or null ids: each row by itself. Empty
-table: no rows. Other columns are not read.
+``und`` for all. Ties: the language first by name. Repeated or null ids: each row by itself. Very long
+texts: one is in memory at a time, with a number for each of its words and languages. Empty table: no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,12 +142,10 @@ def learn(
 ) -> LanguageModel:
     """A model from a bounded sample of the documents that are ``usable`` and have a language."""
     known = documents.filter(usable & F.col(lang_column).isNotNull() & F.col(id_column).isNotNull())
-    sample = known.select(F.col(id_column).alias("__id")).distinct()
-    sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_learned)
+    known = known.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text"))
+    sample = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_learned)
     # At most max_learned ids.
-    rows = known.join(F.broadcast(sample), known[id_column] == F.col("__id")).select(
-        F.col(lang_column).alias("lang"), F.col(text_column).alias("text")
-    )
+    rows = known.join(F.broadcast(sample), "id").select("lang", "text")
     counted = rows.mapInArrow(_count, _COUNTS).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counted = counted.toPandas()  # at most CELLS rows a language
     names = sorted(counted["lang"].unique())
