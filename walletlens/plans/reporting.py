@@ -18,6 +18,7 @@ from walletlens.operators.prompts import COMPONENTS, catalogue_rows, fan_out
 from walletlens.plans import oracle
 from walletlens.session import scratch_path
 from walletlens.sources.report_files import read_reports, write_reports
+from walletlens.sources.report_store import compact, drop_generations, read_store, store_reports
 from walletlens.sources.tables import event_transactions, given_candidates, table
 
 
@@ -128,6 +129,18 @@ def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_rows(read_reports(spark, _written_reports(spark, sf_dir)))
 
 
+def report_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An earlier run, compacted; the run that replaces it; compacted again, and old generations dropped."""
+    store = scratch_path(spark, "report-store")
+    fallback = scoring.override_approach(_scored(spark, sf_dir), {})
+    store_reports(reports.assemble_reports(fallback), store, dt.datetime(2024, 2, 1))
+    compact(spark, store)
+    store_reports(_reports(spark, sf_dir), store, dt.datetime(2024, 2, 2))
+    compact(spark, store)
+    drop_generations(spark, store)
+    return reports.report_rows(read_store(spark, store))
+
+
 def report_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _written_reports(spark, sf_dir)
     return reports.report_display(read_reports(spark, root, year=2024, month="January"))
@@ -254,6 +267,7 @@ QUERIES = {
     ),
     "report_rows": (report_rows, f"WITH {oracle.CANDIDATES} {oracle.REPORT_ROWS}"),
     "report_roundtrip": (report_roundtrip, f"WITH {oracle.CANDIDATES} {oracle.REPORT_ROWS}"),
+    "report_compaction": (report_compaction, f"WITH {oracle.CANDIDATES} {oracle.REPORT_ROWS}"),
     "report_lookup": (
         report_lookup,
         f"""WITH {oracle.CANDIDATES}, flat AS ({oracle.REPORT_ROWS})
