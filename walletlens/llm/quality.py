@@ -15,8 +15,9 @@ broadcasts it while its size allows and splits hot sites beyond. Texts are not s
 
 Null or empty text: no words, evidence of the intercept. Null host or path: a site of its own. Null or
 repeated ids: each row is judged by itself. Labels without both values or without a document are not
-used; without labelled documents of both kinds the evidence is 0 and everything stays. Empty table:
-no rows. Other columns are not read; ``drop_rejected`` keeps them.
+used; without labelled documents of both kinds the evidence is 0 and everything stays. Very long texts: read in
+parts of some megabytes. Empty table: no rows. Other columns are not read; ``drop_rejected`` keeps them,
+whatever their names.
 """
 
 from __future__ import annotations
