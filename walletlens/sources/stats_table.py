@@ -55,19 +55,18 @@ def update_stats(spark: SparkSession, facts: str, root: str, batch_id: str) -> l
     Returns the months that were added up anew.
     """
     loaded = read_batches(spark, facts)
-    part = exact_stats(loaded.filter(F.col("batch_id") == batch_id))
+    batch = loaded.filter(F.col("batch_id") == batch_id)
     parts, pending = f"{root}/parts", f"{root}/pending"
     before = _read(spark, parts, PARTS_SCHEMA).filter(F.col("batch_id") == batch_id).select(*PARTITIONS)
     open_since = _read(spark, pending, _MONTHS).filter(F.col("batch_id") == batch_id).select(*PARTITIONS)
-    months = before.union(open_since).union(part.select(*PARTITIONS)).distinct()
+    months = before.union(open_since).union(batch.select(*PARTITIONS)).distinct()
     # As many rows as a batch has months.
     todo = sorted((row.year, row.month) for row in months.collect())
     noted = spark.createDataFrame(todo, "year int, month int")
     noted.write.mode("overwrite").parquet(batch_path(pending, batch_id))
 
-    part.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*PARTITIONS).parquet(
-        batch_path(parts, batch_id)
-    )
+    part = exact_stats(batch).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    part.partitionBy(*PARTITIONS).parquet(batch_path(parts, batch_id))
     if todo:
         rows = _in_months(_read(spark, parts, PARTS_SCHEMA), todo)
         sums = [F.sum(name).cast("double").alias(name) for name in _TOTALS] + [F.sum(name).alias(name) for name in _COUNTS]
