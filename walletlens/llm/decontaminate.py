@@ -20,7 +20,8 @@ shuffled nor grouped, so copies and hot sources spread over tasks as they are st
 
 Null or empty documents: no match. Null, empty or wordless items: ignored. Items with fewer words
 than a shingle: one shingle, matched as a whole. Repeated items and ids: one match each. Ties: the
-first window. Empty tables: no rows. Other columns are not read; ``drop_contaminated`` keeps them.
+first window. Very long texts: all their windows, one text at a time with its batch. Empty tables: no rows.
+Other columns are not read; ``drop_contaminated`` keeps them, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ component cannot change it, so the components are exact.
 
 Null or empty text, or text without words: an empty set, linked with nothing. Null document ids:
 in no component (null). Repeated rows and ties: rows of one id count as linked; the component's id
-is its smallest document id. Empty table: no rows. Other columns of the input are not read.
+is its smallest document id. Very long texts: whole, one at a time with its batch. Empty table: no rows.
+Other columns of the input are not read; ``one_of_each`` keeps them, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ by weight until no target is above that. Documents without words have size 0 and
 Null text: size 0. A null source is a source of its own, the last. Null or repeated ids: each row is a
 document; equal rows get the same copies or differ by one. Very long texts: only their size is kept. If
 documents are few and large, whole copies may miss the target by part of a document. Empty table: no
-rows. Other columns are not read. Every rerun gives the same copies, as nothing is random.
+rows. Other columns are not read, whatever their names. Every rerun gives the same copies, as nothing is random.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ ancestors by doubling the distance they look up, in as many rounds as the number
 
 Null roles or texts are empty; turns sort by (turn, null first, then id). Rows without a conversation
 id belong to none. Repeated rows are turns of their own. Turnless rebuilt conversations end at the root.
-Very long texts: only their id and word count are kept. Empty table: no rows. Other columns are not read.
+Very long texts: only their id and word count are kept. Empty table: no rows. Other columns are not read,
+whatever their names.
 A node's ``ends_sha256`` hashes its conversations one after the other, so the ids of one sequence stream through
 one task, in constant memory. Ids and the sums that stand for sequences have 128 bits and are not proof
 against texts made to collide.

@@ -18,7 +18,8 @@ most common one (of equally common ones, the longest). Repeated rows and null id
 Components of eigenvalue 0 (fewer distinct vectors than dimensions, constant dimensions) have no
 whitened value and are left out; with less than two distinct vectors nothing is left. ``deviation`` is
 null where it exceeds 64 bits. Vectors are as long as their dimension, so there are no long texts to
-bound; the driver holds matrices of dimension squared. Empty table: no rows. Other columns are not read.
+bound; the driver holds matrices of dimension squared. Empty table: no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
