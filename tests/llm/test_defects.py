@@ -10,11 +10,12 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from walletlens.llm import fingerprints, html_text, jaccard_join, line_dedup, quality, secret_scan, tool_calls
+from walletlens.llm import fingerprints, html_text, jaccard_join, line_dedup, quality, secret_scan, tool_calls, words
 from walletlens.llm.columns import unused
 from walletlens.sources.tables import table
 
@@ -197,6 +198,12 @@ def test_the_next_document_of_scattered_ids(spark):
     assert found == {k: f"text {after}" for k, after in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_texts_are_split_in_parts_of_a_megabyte():
+    batch = pa.RecordBatch.from_pylist([{"text": "word " * 200} for _ in range(5000)])
+    parts = [sum(map(len, texts)) for _, texts in words.chunks(batch, 0)]
+    assert sum(parts) == 5_000_000 and max(parts) <= 1_000_000
+
+
 # --- pages ------------------------------------------------------------------------------------
 
 

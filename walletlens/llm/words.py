@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-CHUNK_BYTES = 4_000_000
-CACHE_WORDS = 300_000
+CHUNK_BYTES = 1_000_000
+CACHE_WORDS = 1 << 17
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
