@@ -198,6 +198,25 @@ def test_the_next_document_of_scattered_ids(spark):
     assert found == {k: f"text {after}" for k, after in zip(order, order[1:] + order[:1], strict=True)}
 
 
+# --- joins ------------------------------------------------------------------------------------
+
+
+def test_only_shingles_shared_by_sets_of_near_sizes_are_joined(spark):
+    rng = random.Random(9)
+    rows = [(s, f"{s}-{k}".encode(), n, rng.randrange(n)) for s in range(300) for k in range(s % 5 + 2) for n in [rng.randrange(5, 60)]]
+    rows += [(999, b"a", 10, 0), (999, b"b", 100, 0), (999, b"c", 105, 0), (999, b"d", 1000, 0)]
+    frame = spark.createDataFrame(rows, "shingle long, digest binary, n int, pos int")
+    kept = {(r.shingle, bytes(r.digest)) for r in jaccard_join._with_partners(frame, 90).collect()}
+    for s, digest, n, pos in rows:
+        others = [(m, at) for t, other, m, at in rows if t == s and other != digest]
+        near = [(m, at) for m, at in others if 100 * min(n, m) >= 90 * max(n, m)]
+        if any(190 * min(n - pos, m - at) >= 90 * (n + m) for m, at in near):
+            assert (s, digest) in kept
+        if not near:
+            assert (s, digest) not in kept
+    assert {digest for s, digest in kept if s == 999} == {b"b", b"c"}
+
+
 def test_texts_are_split_in_parts_of_a_megabyte():
     batch = pa.RecordBatch.from_pylist([{"text": "word " * 200} for _ in range(5000)])
     parts = [sum(map(len, texts)) for _, texts in words.chunks(batch, 0)]

@@ -6,9 +6,10 @@ cell holds clearly more documents than cells do on average come last, and among
 rarer words come first, because a table of fixed size cannot tell rare shingles apart. Any order
 that is the same for all sets gives exact results. Two sets
 that reach the threshold share a shingle within their prefixes, so joining prefixes finds all pairs;
-length, positional and suffix filters drop pairs within the join, and each remaining pair is verified
-once. The suffix filter bounds the whole overlap: the sets' members are dealt into ``RANGES`` hash
-ranges, and ranges with an even count on one side and an odd one on the other differ by one at least.
+prefix shingles that no set of a near size shares are dropped before, length, positional and suffix
+filters drop pairs within the join, and each remaining pair is verified once. The suffix filter bounds
+the whole overlap: the sets' members are dealt into ``RANGES`` hash ranges, and ranges with an even count
+on one side and an odd one on the other differ by one at least.
 
 Groups of copies stay linear. Equal sets are one node from the start. Then every node is compared
 with one pivot of a few of its prefix shingles, and what is left open with one pivot of each, which
@@ -241,6 +242,21 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int, apart: str) -> DataF
     return joined.selectExpr("least(x.digest, y.digest) AS a", "greatest(x.digest, y.digest) AS b").distinct()
 
 
+def _with_partners(postings: DataFrame, percent: int) -> DataFrame:
+    """The distinct ``postings`` without those that no other set of their shingle can be linked with.
+
+    If the next shorter set is too short, so are all shorter ones; likewise the longer ones, and what follows the
+    shingle is even less enough for them.
+    """
+    by_size = Window.partitionBy("shingle").orderBy("n")
+    near = postings.withColumn("shorter", F.lag("n").over(by_size)).withColumn("longer", F.lead("n").over(by_size))
+    kept = (
+        f"100L * shorter >= {percent}L * n OR (100L * n >= {percent}L * longer AND "
+        f"{100 + percent}L * (n - pos) >= {percent}L * (n + longer))"
+    )
+    return near.filter(kept).select("shingle", "digest", "n", "pos")
+
+
 def small(rows: DataFrame) -> DataFrame:
     """``rows`` (written, of few short columns) marked for broadcast if there are few enough; a shuffle join beyond."""
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
@@ -303,7 +319,7 @@ def similar_documents(
         .select("shingle", "digest", "n", "pos")
         .distinct()
     )
-    postings = materialize(postings, "jaccard-postings")
+    postings = materialize(_with_partners(postings, percent), "jaccard-postings")
     shared.destroy()
     nodes = materialize(postings.select("digest").distinct(), "jaccard-nodes")
     sizes = profiles.join(nodes, "digest", "left_semi").filter("node_doc IS NOT NULL")
