@@ -198,6 +198,44 @@ def test_the_next_document_of_scattered_ids(spark):
     assert found == {k: f"text {after}" for k, after in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def plain_votes(hashes):
+    return [
+        sum(sum(h >> (k + 21 * lane) & 1 for h in hashes) % (1 << 20) << 21 * lane for lane in range(3)) for k in range(21)
+    ]
+
+
+def test_votes_count_the_bits_of_all_hashes(spark):
+    rng = random.Random(8)
+    rows = [([rng.randrange(-(2**63), 2**63) for _ in range(n)],) for n in (0, 1, 6, 7, 8, 13, 14, 15, 500)]
+    rows += [([-1] * 30,), ([0] * 30,)]
+    for row in spark.createDataFrame(rows, "h array<long>").select("h", fingerprints._votes(F.col("h")).alias("v")).collect():
+        assert row.v == plain_votes(row.h)
+
+
+def test_votes_take_less_than_a_step_for_each_hash_and_long(spark):
+    hashes = F.transform(F.sequence(F.lit(1), F.lit(700)), lambda x: F.xxhash64(x, "id"))
+    frame = spark.range(0, 2000, numPartitions=8).select(hashes.alias("h")).cache()
+    frame.count()
+
+    def one_by_one(found):
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(20)),
+            lambda k: F.aggregate(
+                found,
+                F.lit(0).cast("long"),
+                lambda total, h: (total + F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(1 << 42 | 1 << 21 | 1))),
+            ),
+        )
+
+    def seconds(column):
+        began = time.perf_counter()
+        frame.select(column.alias("v")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    plain = min(seconds(one_by_one(F.col("h"))) for _ in range(3))
+    assert min(seconds(fingerprints._votes(F.col("h"))) for _ in range(3)) < 0.7 * plain
+
+
 # --- joins ------------------------------------------------------------------------------------
 
 

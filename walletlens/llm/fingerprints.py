@@ -35,9 +35,13 @@ IDENTITY_LONGS = 8
 VOTE_LONGS = 21
 #: Ids that agree but for so many low bits are in one window of the order of documents.
 RUN_BITS = 7
+#: Hashes whose bits are added in fields of three bits.
+GROUP = 7
 
 _IDENTITY_MASK = ((1 << 30) - 1) << 32 | ((1 << 31) - 1)
 _VOTE_BITS = 1 << 42 | 1 << 21 | 1
+_THIRD_BITS = sum(1 << 3 * k for k in range(21))
+_GROUP_BITS = GROUP * _VOTE_BITS
 _VOTE_MASK = ((1 << 20) - 1) * _VOTE_BITS
 _BLANK = r"[ \t\r\f\x0b]+"
 _NO_ID = -(1 << 62)
@@ -64,11 +68,30 @@ def _identity(paragraphs: Column) -> Column:
 
 
 def _votes(hashes: Column) -> Column:
-    def votes(k: Column, h: Column) -> Column:
-        return F.call_function("shiftrightunsigned", h, k).bitwiseAND(F.lit(_VOTE_BITS))
+    """The number of hashes with each bit set: long k holds bits k, k + 21 and k + 42.
 
-    shifts = F.sequence(F.lit(0), F.lit(VOTE_LONGS - 1))
-    return F.transform(shifts, lambda k: _sum(hashes, lambda h: votes(k, h), _VOTE_MASK))
+    Every third bit of a few hashes is added as it stands, since three bits hold their number. The lanes then add up
+    these sums, not single hashes.
+    """
+    groups = F.sequence(F.lit(0), (F.size(hashes) / GROUP).cast("int"))
+
+    def added(group: Column, j: int) -> Column:
+        part = F.slice(hashes, group * GROUP + 1, F.lit(GROUP))
+        bits = F.lit(_THIRD_BITS)
+        return F.aggregate(part, F.lit(0).cast("long"), lambda total, h: total + F.shiftright(h, j).bitwiseAND(bits))
+
+    def lanes(sums: Column) -> Column:
+        def lane(shift: Column) -> Column:
+            return _sum(sums, lambda x: F.call_function("shiftright", x, shift).bitwiseAND(F.lit(_GROUP_BITS)), _VOTE_MASK)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(VOTE_LONGS - 3), F.lit(3)), lane)
+
+    def third(j: int) -> Column:
+        return _once(F.transform(groups, lambda g: added(g, j)), lanes)
+
+    thirds = F.array(*(third(j) for j in range(3)))
+    each = F.sequence(F.lit(0), F.lit(VOTE_LONGS // 3 - 1))
+    return _once(thirds, lambda of: F.flatten(F.transform(each, lambda k: F.transform(of, lambda x: F.get(x, k)))))
 
 
 def _word_pairs(paragraph: Column) -> Column:
